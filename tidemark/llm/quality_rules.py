@@ -176,8 +176,7 @@ def judge(docs: DataFrame, max_chars: float = MAX_CHARS, max_words: float = MAX_
     """For each row of docs(doc_id, text, lang): the base counts, both distances (null below the guards), the verdict."""
     docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
     # Rare languages share a reference, so that what is sent to tasks is bounded.
-    named = docs.groupBy("lang").count()
-    rare = F.broadcast(named.crossJoin(named.agg(F.sum("count").alias("all"))).where("count * 1000 >= all").select("lang", F.lit(True).alias("big")))
+    rare = F.broadcast(docs.groupBy("lang").count().where(F.col("count") * 1000 >= docs.count()).select("lang", F.lit(True).alias("big")))
     docs = docs.join(rare, "lang", "left").select("doc_id", "text", F.when(F.col("big"), F.col("lang")).otherwise("\x00rare").alias("lang"))
     known = references(docs)
     tables = {k: (c, list(w), np.array([*w.values(), max(0.0, 1 - sum(w.values()))])) for k, (c, w) in known.items()}
