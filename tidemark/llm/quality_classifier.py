@@ -170,10 +170,8 @@ def sites(scored: DataFrame, host: str, path: str) -> DataFrame:
     return cut(both.select("site_host", "site_path", *[f"{a}_{c}" for c in ADDED for a in ("site", "all")]), "sites")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_text: bool = True, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs with p_quality, p_toxic, the site posteriors, score (posterior of good and not toxic) and keep."""
-    scored = cut(evidence(docs, fit(docs, labels, fit_rows), keep_text), "scored")
-    place = sites(scored, host, path)
+def _decided(scored: DataFrame, place: DataFrame, host: str, path: str) -> DataFrame:
+    """scored with the site posteriors, the combined ones, score and keep."""
     on = scored.withColumn("site_host", F.coalesce(F.col(host).cast("string"), F.lit("\x00"))).withColumn("site_path", F.coalesce(F.col(path).cast("string"), F.lit("\x00")))
     x = on.join(place, ["site_host", "site_path"])
     logit = lambda c: F.log(F.greatest(F.lit(1e-9), c) / F.greatest(F.lit(1e-9), 1 - c))
@@ -181,4 +179,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         z = logit(F.col(c)) + SITE_WEIGHT * (logit(F.col(f"site_{c}")) - logit(F.col(f"all_{c}")))
         x = x.withColumn(f"post_{c}", 1 / (1 + F.exp(-z)))
     x = x.withColumn("score", F.col("post_p_quality") * (1 - F.col("post_p_toxic"))).withColumn("keep", (F.col("post_p_quality") >= 0.5) & (F.col("post_p_toxic") < 0.5))
+    return x
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_text: bool = True, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """docs with p_quality, p_toxic, the site posteriors, score (posterior of good and not toxic) and keep."""
+    scored = cut(evidence(docs, fit(docs, labels, fit_rows), keep_text), "scored")
+    place = sites(scored, host, path)
+    x = _decided(scored, place, host, path)
     return x.drop("site_host", "site_path", "all_p_quality", "all_p_toxic")
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """The rows of docs that classify() keeps, in their own columns; texts are classified as they pass, and not stored."""
+    names = docs.columns
+    model = fit(docs, labels)
+    place = sites(cut(evidence(docs.select("text", host, path), model, keep_text=False), "scored"), host, path)
+    rows = docs.select(F.col("text"), F.col(host).alias("_host"), F.col(path).alias("_path"), F.struct(*names).alias("_row"))
+    x = _decided(evidence(rows, model), place, "_host", "_path")
+    return x.where("keep").select("_row.*")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, html_extraction, lm_scoring, packing, quality_classifier, quality_rules, simhash, suffix_dedup
-from tidemark.llm.common import table
+from tidemark.llm import compaction, embedding_dedup, html_extraction, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from tidemark.llm.common import scratch, table
 
 
 def byte_bpe() -> str:
@@ -34,6 +36,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends all documents as small shards, compacts them, and tells each document's shard."""
+    store = compaction.ShardStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    version = store.compact()
+    place = F.col("_metadata.file_path")
+    return store.read(version).select("doc_id", F.substring_index(place, "/", -2).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -159,3 +159,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs(doc_id, text)."""
     prints = cut(fingerprints(docs.select("doc_id", "text")), "prints")
     return prints.join(components_of(prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their group of near duplicates: those of the smallest doc_id, once each.
+
+    Rows without an id stand for a group that has no ids, once for each fingerprint.
+    """
+    names = docs.columns
+    classes = components_of(cut(fingerprints(docs.select("doc_id", "text")), "prints"))
+    rows = fingerprints(docs.select("doc_id", "text", F.struct(*names).alias("_row")), into="fp")
+    first = rows.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).agg(F.first("_row").alias("_row")).select("_row.*")
