@@ -1,4 +1,6 @@
 """All registered queries of the transcript engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import transcript
+
+QUERIES: dict = {**transcript.QUERIES}
+ORACLE: dict = {**transcript.ORACLE}
