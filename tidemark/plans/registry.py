@@ -1,6 +1,7 @@
 """All registered queries of the transcript engine and their SQL."""
 
-from tidemark.plans import transcript
+from tidemark.plans import analytics, transcript
 
-QUERIES: dict = {**transcript.QUERIES}
-ORACLE: dict = {**transcript.ORACLE}
+__all__ = ["ORACLE", "QUERIES", "analytics"]
+QUERIES: dict = transcript.QUERIES
+ORACLE: dict = transcript.ORACLE
