@@ -36,7 +36,7 @@ from tidemark.llm.common import cut
 HELD, FOLDS = 2, 7
 #: Of the training documents, one in TUNING is set apart for the weights.
 TUNING = 10
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
 END, START = np.uint64(1), np.uint64(2)
 CLASSES = 20  # of context frequency, by powers of two; the first is for unseen contexts
@@ -100,6 +100,13 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(fold)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, so that a task holds the words of a single batch of documents."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 class Grams:
     """A batch's distinct n-grams: sorted keys (odd: words, even: word pairs), and where each token's lie among them."""
 
@@ -145,23 +152,25 @@ class Grams:
 def _send(buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(row: dict) -> pa.RecordBatch:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            for row in b.to_pylist():
-                g = Grams(row)
-                n = g.counts(np.array(row["held"], bool)).astype(np.uint32)
-                edges = np.searchsorted((g.keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(g.keys), np.int64), np.arange(buckets + 1))
-                rows = []
-                for k in range(buckets):
-                    i, j = edges[k], edges[k + 1]
-                    if i < j:
-                        gaps = np.diff(g.keys[i:j], prepend=np.uint64(0))
-                        rows.append((k, row["batch"], row["fold"], z.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes()), z.compress(n[i:j].view(np.uint8).reshape(-1, 4).T.tobytes())))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], ["bucket", "batch", "fold", "keys", "counts"])
+        g = Grams(row)
+        n = g.counts(np.array(row["held"], bool)).astype(np.uint32)
+        edges = np.searchsorted((g.keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(g.keys), np.int64), np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            i, j = edges[k], edges[k + 1]
+            if i < j:
+                gaps = np.diff(g.keys[i:j], prepend=np.uint64(0))
+                rows.append((k, row["batch"], row["fold"], z.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes()), z.compress(n[i:j].view(np.uint8).reshape(-1, 4).T.tobytes())))
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "batch", "fold", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield send(row)
 
     return run
 
@@ -216,15 +225,15 @@ def _histogram(n_base: int):
             k = np.floor(-np.log2(p) * FINE)
         return np.where(p > 0, np.clip(k, 0, BINS - 2) + 1, 0).astype(np.int64)
 
+    def count(row: dict) -> pa.RecordBatch:
+        kind, p2, p1 = _estimates(Grams(row), _totals(row, "base"), n_base)
+        cells, where = np.unique((kind * BINS + bins(p2)) * BINS + bins(p1), return_inverse=True)
+        sums = [np.bincount(where), np.bincount(where, weights=p2), np.bincount(where, weights=p1)]
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["cell", "n", "p2", "p1"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                g = Grams(row)
-                kind, p2, p1 = _estimates(g, _totals(row, "base"), n_base)
-                cell = (kind * BINS + bins(p2)) * BINS + bins(p1)
-                cells, where = np.unique(cell, return_inverse=True)
-                sums = [np.bincount(where), np.bincount(where, weights=p2), np.bincount(where, weights=p1)]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["cell", "n", "p2", "p1"])
+        for row in _rows(batches):
+            yield count(row)
 
     return run
 
@@ -245,18 +254,18 @@ def weights(cells: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0
 
 
 def _score(w: np.ndarray, n: int, v: int):
+    def judge(row: dict) -> pa.RecordBatch:
+        g, total = Grams(row), _totals(row, "every")
+        kind, p2, p1 = _estimates(g, total, n)
+        c = total[g.word[g.tokens]]
+        per = lambda x: np.add.reduceat(x, g.starts)
+        base = per(np.log10((c + 1) / (n + v + 1)))
+        score = per(np.log10(w[kind, 0] * p2 + w[kind, 1] * p1 + w[kind, 2] / (v + 1)))
+        return pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(g.sizes), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(len(g.sizes), n, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                g = Grams(row)
-                total = _totals(row, "every")
-                kind, p2, p1 = _estimates(g, total, n)
-                c = total[g.word[g.tokens]]
-                per = lambda x: np.add.reduceat(x, g.starts)
-                base = per(np.log10((c + 1) / (n + v + 1)))
-                score = per(np.log10(w[kind, 0] * p2 + w[kind, 1] * p1 + w[kind, 2] / (v + 1)))
-                size = len(g.sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(g.sizes), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _rows(batches):
+            yield judge(row)
 
     return run
 
