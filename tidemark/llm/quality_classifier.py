@@ -84,14 +84,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x.column("quality"), x.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["quality", "toxic", "buckets"])
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, ridge: float = 1e-4, steps: int = 100) -> tuple[np.ndarray, float]:
-    """Weights and intercept over all buckets; plain full-batch Adam."""
+def logistic(idx: np.ndarray, doc: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and intercept over all buckets, from the buckets of each document and its number; plain full-batch Adam."""
     size = (1 << BITS) + 16 * _MEASURES
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return np.zeros(size, np.float32), float(np.log(share / (1 - share)))
-    idx = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     often = np.bincount(idx, minlength=size) >= MIN_DOCS
     idx, doc = idx[often[idx]], doc[often[idx]]
     names, idx = np.unique(idx, return_inverse=True)
@@ -117,9 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple:
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
     found = sample.mapInArrow(_buckets, "quality int, toxic int, buckets array<int>").toArrow()
-    rows = [np.asarray(r, np.int64) for r in found.column("buckets").to_pylist()]
-    y = [np.asarray(found.column(c).to_pylist(), float) for c in ("quality", "toxic")]
-    return logistic(rows, y[0]), logistic(rows, y[1])
+    lists = found.column("buckets").combine_chunks()
+    idx = lists.flatten().to_numpy()
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    y = [found.column(c).to_numpy().astype(float) for c in ("quality", "toxic")]
+    return logistic(idx, doc, y[0]), logistic(idx, doc, y[1])
 
 
 def evidence(docs: DataFrame, model: tuple, keep_text: bool = True) -> DataFrame:
