@@ -52,7 +52,6 @@ _EDGES = {
 
 @dataclass(frozen=True)
 class Model:
-    stems: tuple[str, ...]
     prior: tuple[float, ...]  # log
     tables: dict[str, tuple[tuple[float, ...], ...]]  # measure -> domain -> bin, log
 
@@ -69,7 +68,7 @@ def measures(docs: DataFrame, stems: tuple[str, ...]) -> DataFrame:
     value = {k: (F.length("_t") - F.length(F.translate("_t", c, ""))) / chars for k, c in _COUNTED.items()}
     value["width"] = F.length("_t") / words
     value["repeats"] = words / F.greatest(F.size(F.array_distinct("_w")), F.lit(1))
-    value["stems"] = F.size(F.regexp_extract_all(F.lower("_t"), F.lit(rf"(?:^|[\x20\x09-\x0D\"'(])({'|'.join(stems)})"), F.lit(1))) if stems else F.lit(0)
+    value["stems"] = F.size(F.filter("_w", lambda w: F.lower(F.substring(w, 1, STEM)).isin(*stems))) if stems else F.lit(0)
     return x.select(*docs.columns, F.size("_w").cast("long").alias("n_tokens"), *[_binned(v, _EDGES[k]).alias(f"_b_{k}") for k, v in value.items()])
 
 
@@ -77,37 +76,39 @@ def _domain(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) == 1, 2).when(F.col(quality) == 0, 1).when((F.col(quality) == 1) & (F.col(toxic) == 0), 0)
 
 
-def learn_stems(docs: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[str, ...]:
+def learn_stems(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[str, ...]:
     """Word beginnings that toxic documents of the sample hold far more often than others; at most STEMS."""
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)), "doc_id")
     words = sample.select((F.col("domain") == 2).alias("hit"), F.explode(F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), _WORD), lambda w: F.substring(w, 1, STEM)))).alias("stem"))
     counts = words.where(rf"length(stem) = {STEM} and stem rlike '^[\\p{{L}}]+$'").groupBy("stem").agg(F.count_if("hit").alias("hit"), F.count_if(~F.col("hit")).alias("miss"))
     odds = (F.col("hit") + 0.1) / (F.col("miss") + 0.5)
     return tuple(r.stem for r in counts.where((F.col("hit") >= 4) & (odds > 4)).orderBy(odds.desc(), "stem").limit(STEMS).collect())
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    known = labels.where("doc_id is not null").select("doc_id", _domain().alias("domain")).where("domain is not null")
-    stems = learn_stems(docs, known, fit_rows)
-    seen = measures(docs.select("doc_id", "text"), stems).drop("text").join(known, "doc_id")
+def known(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null").select("doc_id", _domain().alias("domain")).where("domain is not null")
+
+
+def learn(measured: DataFrame, labels: DataFrame) -> Model:
+    """The classifier from the measures of the labelled rows; one row a domain comes to the driver."""
     names = list(_EDGES)
+    seen = measured.select("doc_id", *[f"_b_{k}" for k in names]).join(known(labels), "doc_id")
     counts = {r.domain: r for r in seen.groupBy("domain").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"_b_{k}") == b).alias(f"{k}_{b}") for k in names for b in range(BINS)]).collect()}
     total = sum(r.n for r in counts.values())
     prior = tuple(math.log(((counts[d].n if d in counts else 0) + 1) / (total + len(DOMAINS))) for d in range(len(DOMAINS)))
     tables = {k: tuple(tuple(math.log(((counts[d][f"{k}_{b}"] if d in counts else 0) + 0.5) / ((counts[d].n if d in counts else 0) + 0.5 * BINS)) for b in range(BINS)) for d in range(len(DOMAINS))) for k in names}
-    return Model(stems, prior, tables)
+    return Model(prior, tables)
 
 
-def posteriors(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with n_tokens and p_<domain>."""
+def posteriors(measured: DataFrame, model: Model) -> DataFrame:
+    """measured with p_<domain> in place of the measures."""
     names = [f"p_{d}" for d in DOMAINS]
-    docs = docs.drop("n_tokens", *names)
-    x = measures(docs, model.stems)
+    kept = [c for c in measured.columns if not c.startswith("_b_") and c not in names]
     logs = [sum((F.element_at(F.array(*map(F.lit, t[d])), F.col(f"_b_{k}") + 1) for k, t in model.tables.items()), F.lit(model.prior[d])) for d in range(len(DOMAINS))]
-    x = x.select(*docs.columns, "n_tokens", *[v.alias(f"_l{d}") for d, v in enumerate(logs)])
+    x = measured.select(*kept, *[v.alias(f"_l{d}") for d, v in enumerate(logs)])
     top = F.greatest(*[f"_l{d}" for d in range(len(DOMAINS))])
     whole = sum((F.exp(F.col(f"_l{d}") - top) for d in range(len(DOMAINS))), F.lit(0.0))
-    return x.select(*docs.columns, "n_tokens", *[(F.exp(F.col(f"_l{d}") - top) / whole).alias(n) for d, n in enumerate(names)])
+    return x.select(*kept, *[(F.exp(F.col(f"_l{d}") - top) / whole).alias(n) for d, n in enumerate(names)])
 
 
 def rate(multipliers: list[float]) -> Column:
@@ -163,17 +164,24 @@ def copies(rate_: Column, salt: Column) -> Column:
     return (F.floor(rate_) + F.when(chance < rate_ - F.floor(rate_), 1).otherwise(0)).cast("int")
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, tuple[str, ...], Model, list[float]]:
+    """Memberships of all docs (a written table), and what they and the rates come from. Texts are measured once."""
+    stems = learn_stems(docs, labels)
+    measured = cut(measures(docs.select("doc_id", "text"), stems).drop("text"), "measured")
+    model = learn(measured, labels)
+    members = posteriors(measured, model)
+    return members, stems, model, fit_rates(members, targets)
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """(doc_id, n_tokens, p_*, rate, copies) for each row of docs(doc_id, text)."""
-    members = cut(posteriors(docs.select("doc_id", "text"), learn(docs, labels)).drop("text"), "members")
-    return members.withColumn("rate", rate(fit_rates(members, targets))).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    members, _, _, multipliers = _fitted(docs, labels, targets)
+    return members.withColumn("rate", rate(multipliers)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say."""
     names = docs.columns
-    model = learn(docs, labels)
-    members = cut(posteriors(docs.select("doc_id", "text"), model).drop("text"), "members")
-    multipliers = fit_rates(members, targets)
-    spread = posteriors(docs.select("doc_id", "text", F.struct(*names).alias("_row")), model)
+    _, stems, model, multipliers = _fitted(docs, labels, targets)
+    spread = posteriors(measures(docs.select("doc_id", "text", F.struct(*names).alias("_row")), stems), model)
     return spread.withColumn("_n", copies(rate(multipliers), F.col("doc_id"))).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
