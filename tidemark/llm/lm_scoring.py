@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 
 HELD, FOLDS = 2, 7
 #: Of the training documents, one in TUNING is set apart for the weights.
@@ -76,7 +76,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], _NAMES)
 
-    for b in batches:
+    for b in slices(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             fold = fold_of(doc)
             apart = int(fold == 1)

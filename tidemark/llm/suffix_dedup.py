@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 
 WINDOW = 400
 GRAM = 17
@@ -42,7 +42,7 @@ SPAN = WINDOW - GRAM + 1  # grams in a window: 384
 #: Starts in a node of each pass: 2 x 192, 12 x 16, 16 x 1.
 WIDTHS = (192, 16, 1)
 #: Bytes of text that a task hashes at once (a longer text is hashed alone).
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8").astype(np.uint64)
@@ -123,7 +123,7 @@ def _batch(columns: list[np.ndarray]) -> list[pa.Array]:
 
 def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes of the first pass: place is the first start of the node, first and last the starts whose anchor it hangs on."""
-    for b in batches:
+    for b in slices(batches):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
         tids = b.column("tid").to_numpy()
         for chunk in _chunks(texts):
@@ -174,7 +174,7 @@ def _second_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Per text with nodes to split: the shorter nodes, and for each split node a row with the bytes that its windows read."""
     import zstandard
 
-    for b in batches:
+    for b in slices(batches, 16):
         for row in b.to_pylist():
             text = zstandard.decompress(row["packed"])
             n = len(text)
@@ -188,7 +188,7 @@ def _second_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _third_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Single starts below nodes of the second pass; bytes holds the text from `shift` on, which has n bytes in all."""
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for x in b.to_pylist():
             h = Hashes(np.frombuffer(x["bytes"], np.uint8))
@@ -216,7 +216,7 @@ def repeats(texts: DataFrame) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], ["tid", "packed"])
 
     first = cut(texts.mapInArrow(_first_nodes, _NODES), "nodes")
@@ -259,14 +259,14 @@ def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "tid", "packed"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for packed, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist(), strict=True):
             text = zstandard.decompress(packed)
@@ -295,7 +295,7 @@ def strip(docs: DataFrame) -> DataFrame:
     held = with_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 if text is not None and spans:
