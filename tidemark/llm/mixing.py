@@ -29,7 +29,7 @@ from tidemark.llm.common import cut
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
-#: Labelled rows at most from which word beginnings are learned (those with the smallest hashes of doc_id).
+#: Labelled rows at most from which the classifier is learned (those with the smallest hashes of doc_id).
 FIT_ROWS = 4000
 STEMS = 48
 STEM = 4
@@ -76,23 +76,27 @@ def _domain(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) == 1, 2).when(F.col(quality) == 0, 1).when((F.col(quality) == 1) & (F.col(toxic) == 0), 0)
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[str, ...]:
+def known(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null").select("doc_id", _domain().alias("domain")).where("domain is not null")
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, domain) of the labelled rows that are learned from: a written table of at most fit_rows labels."""
+    chosen = known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    return cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+
+
+def learn_stems(sample: DataFrame) -> tuple[str, ...]:
     """Word beginnings that toxic documents of the sample hold far more often than others; at most STEMS."""
-    sample = docs.select("doc_id", "text").join(F.broadcast(known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)), "doc_id")
     words = sample.select((F.col("domain") == 2).alias("hit"), F.explode(F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), _WORD), lambda w: F.substring(w, 1, STEM)))).alias("stem"))
     counts = words.where(rf"length(stem) = {STEM} and stem rlike '^[\\p{{L}}]+$'").groupBy("stem").agg(F.count_if("hit").alias("hit"), F.count_if(~F.col("hit")).alias("miss"))
     odds = (F.col("hit") + 0.1) / (F.col("miss") + 0.5)
     return tuple(r.stem for r in counts.where((F.col("hit") >= 4) & (odds > 4)).orderBy(odds.desc(), "stem").limit(STEMS).collect())
 
 
-def known(labels: DataFrame) -> DataFrame:
-    return labels.where("doc_id is not null").select("doc_id", _domain().alias("domain")).where("domain is not null")
-
-
-def learn(measured: DataFrame, labels: DataFrame) -> Model:
-    """The classifier from the measures of the labelled rows; one row a domain comes to the driver."""
+def learn(seen: DataFrame) -> Model:
+    """The classifier from the measures of labelled rows seen(domain, _b_*); one row a domain comes to the driver."""
     names = list(_EDGES)
-    seen = measured.select("doc_id", *[f"_b_{k}" for k in names]).join(known(labels), "doc_id")
     counts = {r.domain: r for r in seen.groupBy("domain").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"_b_{k}") == b).alias(f"{k}_{b}") for k in names for b in range(BINS)]).collect()}
     total = sum(r.n for r in counts.values())
     prior = tuple(math.log(((counts[d].n if d in counts else 0) + 1) / (total + len(DOMAINS))) for d in range(len(DOMAINS)))
@@ -152,7 +156,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, steps: in
         if size < 1e-9:
             break
         if now is best:
-            h = [[row[f"h{min(i, j)}{max(i, j)}"] / total + (1e-9 if i == j else 0.0) for j in range(k)] for i in range(k)]
+            ridge = 1e-5 * max(row[f"h{i}{i}"] for i in range(k)) / total + 1e-12
+            h = [[row[f"h{min(i, j)}{max(i, j)}"] / total + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)]
             move = _solve(h, left)
         now = [b - step * m for b, m in zip(best, move, strict=True)]
     return best
@@ -164,11 +169,12 @@ def copies(rate_: Column, salt: Column) -> Column:
     return (F.floor(rate_) + F.when(chance < rate_ - F.floor(rate_), 1).otherwise(0)).cast("int")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, tuple[str, ...], Model, list[float]]:
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], learn_from: DataFrame | None = None) -> tuple[DataFrame, tuple[str, ...], Model, list[float]]:
     """Memberships of all docs (a written table), and what they and the rates come from. Texts are measured once."""
-    stems = learn_stems(docs, labels)
+    sample = sample_of(docs if learn_from is None else learn_from, labels)
+    stems = learn_stems(sample)
+    model = learn(measures(sample, stems))
     measured = cut(measures(docs.select("doc_id", "text"), stems).drop("text"), "measured")
-    model = learn(measured, labels)
     members = posteriors(measured, model)
     return members, stems, model, fit_rates(members, targets)
 
@@ -179,9 +185,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     return members.withColumn("rate", rate(multipliers)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs, each row as often as its copies say."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, learn_from: DataFrame | None = None) -> DataFrame:
+    """docs, each row as often as its copies say. learn_from: labelled documents, where docs are filtered ones."""
     names = docs.columns
-    _, stems, model, multipliers = _fitted(docs, labels, targets)
+    _, stems, model, multipliers = _fitted(docs, labels, targets, learn_from)
     spread = posteriors(measures(docs.select("doc_id", "text", F.struct(*names).alias("_row")), stems), model)
     return spread.withColumn("_n", copies(rate(multipliers), F.col("doc_id"))).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions
+from tidemark.llm.common import cut, partitions, slices
 
 SEQUENCE = 1024
 #: Column generation ends when the program's value is this close to its lower bound.
@@ -36,7 +36,7 @@ STEPS = 1500
 #: Padding of a pattern above which its rests are cut into power-of-two lengths.
 WASTE = 8
 #: Word pieces whose ids a task remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class Ids:
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, salt, width = Ids(tokenizer), 0, 4 * sequence
-        for x in batches:
+        for x in slices(batches):
             ids, rows = x.column("doc_id").to_pylist(), []
             for doc, text in zip(ids, x.column("text").to_pylist(), strict=True):
                 blob = encode(text) + b"\0\0\0\0"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 
 #: Labelled rows at most that the document classifier is fitted on (those with the smallest hashes of doc_id).
 FIT_ROWS = 12000
@@ -65,7 +65,7 @@ def buckets(text: str | None, known: dict[bytes, tuple[int, int]]) -> list[int]:
 
     t = (text or "").encode("utf-8", "surrogatepass")
     words = t.translate(_LOWER).split()
-    if len(known) > 300_000:
+    if len(known) > 150_000:
         known.clear()
     found = set()
     for w in set(words):
@@ -79,7 +79,7 @@ def buckets(text: str | None, known: dict[bytes, tuple[int, int]]) -> list[int]:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, tuple[int, int]] = {}
-    for x in batches:
+    for x in slices(batches):
         rows = [sorted(buckets(t, known)) for t in x.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([x.column("quality"), x.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["quality", "toxic", "buckets"])
 
@@ -130,7 +130,7 @@ def evidence(docs: DataFrame, model: tuple, keep_text: bool = True) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, int]] = {}
-        for x in batches:
+        for x in slices(batches):
             z = []
             for t in x.column("text").to_pylist():
                 i = np.array(buckets(t, known), np.int64)

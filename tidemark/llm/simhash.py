@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, slices
 
 RADIUS = 2
 SHARD_ROWS = 128
@@ -55,8 +55,8 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *ends[:-1].tolist()]
     h = np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, (ends[2:] - 1).tolist(), strict=False)), np.uint64, len(words) - 2)
     set_ = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        set_ += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for k in range(0, len(h), 1 << 13):
+        set_ += np.unpackbits(h[k : k + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_ > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, keep_text: bool = False, into: str = "fp") ->
     kept = [f for f in docs.schema.fields if (keep_text or f.name != "text") and f.name != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             fp = np.array([fingerprint(t) for t in x.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(x.column(f.name) for f in kept), pa.array(fp)], [*(f.name for f in kept), into])
 
