@@ -298,3 +298,25 @@ def seq1_phrases(spark, d):
 def str21_wrap(spark, d):
     """Greedy caption lines of each segment (checked by tests)."""
     return bridge.segments(spark, d).select("job_id", "seg_ix", F.posexplode(captions.wrapped(F.col("text"), 8, 44)).alias("line_ix", "line"))
+
+
+def _scene_candidates(spark, d):
+    from tidemark.operators import scene_ranking
+
+    segs = bridge.segments(spark, d).persist()
+    cuts = shots(segs)
+    return scene_ranking.candidates(segs, scenes.scenes(segs.withColumn("compilation", F.lit(False)), cuts), bridge.words(segs), cuts)
+
+
+@query()
+def scr3_scene_candidates(spark, d):
+    """Scene-local clips with narrative, boundary and repair measures (SCR-3 to SCR-8; checked by tests)."""
+    return _scene_candidates(spark, d).drop("sig", "topics")
+
+
+@query()
+def sel2_scene_clips(spark, d):
+    """The diverse choice of scene-local clips (SEL-2, SEL-3; checked by tests)."""
+    from tidemark.operators import scene_ranking
+
+    return scene_ranking.chosen(_scene_candidates(spark, d))
