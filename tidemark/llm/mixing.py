@@ -175,7 +175,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], learn
     stems = learn_stems(sample)
     model = learn(measures(sample, stems))
     measured = cut(measures(docs.select("doc_id", "text"), stems).drop("text"), "measured")
-    members = posteriors(measured, model)
+    members = cut(posteriors(measured, model), "members")  # so that a step of the fit is a small plan
     return members, stems, model, fit_rates(members, targets)
 
 

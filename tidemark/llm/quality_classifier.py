@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import cut, slices
 
 #: Labelled rows at most that the document classifier is fitted on (those with the smallest hashes of doc_id).
-FIT_ROWS = 12000
+FIT_ROWS = 8000
 BITS = 18
 #: Words that fewer of the sample's documents hold carry no weight.
 MIN_DOCS = 8
