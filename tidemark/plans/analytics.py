@@ -313,10 +313,3 @@ def scr3_scene_candidates(spark, d):
     """Scene-local clips with narrative, boundary and repair measures (SCR-3 to SCR-8; checked by tests)."""
     return _scene_candidates(spark, d).drop("sig", "topics")
 
-
-@query()
-def sel2_scene_clips(spark, d):
-    """The diverse choice of scene-local clips (SEL-2, SEL-3; checked by tests)."""
-    from tidemark.operators import scene_ranking
-
-    return scene_ranking.chosen(_scene_candidates(spark, d))
