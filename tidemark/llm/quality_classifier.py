@@ -31,6 +31,8 @@ FIT_ROWS = 8000
 BITS = 18
 #: Words that fewer of the sample's documents hold carry no weight.
 MIN_DOCS = 8
+#: Buckets at a time in a fitting step, which bounds what it holds beside the sample.
+BLOCK = 500_000
 #: Bytes of a word's beginning that count as a feature beside the word.
 PREFIX = 4
 SITE_WEIGHT = 0.5
@@ -91,15 +93,18 @@ def logistic(idx: np.ndarray, doc: np.ndarray, y: np.ndarray, ridge: float = 1e-
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return np.zeros(size, np.float32), float(np.log(share / (1 - share)))
     often = np.bincount(idx, minlength=size) >= MIN_DOCS
-    idx, doc = idx[often[idx]], doc[often[idx]]
-    names, idx = np.unique(idx, return_inverse=True)
+    names = np.flatnonzero(often)
+    place = np.cumsum(often, dtype=np.int32) - 1
+    held = often[idx]
+    idx, doc = place[idx[held]], doc[held]
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(idx), BLOCK)]
     w, b = np.zeros(len(names)), 0.0
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes count alike while fitting
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, steps + 1):
-        z = np.bincount(doc, weights=w[idx], minlength=len(y)) + b
+        z = sum((np.bincount(doc[s], weights=w[idx[s]], minlength=len(y)) for s in blocks), np.full(len(y), b))
         e = weight * (1 / (1 + np.exp(-z)) - y) / len(y)
-        g = np.bincount(idx, weights=e[doc], minlength=len(w)) + ridge * w
+        g = sum((np.bincount(idx[s], weights=e[doc[s]], minlength=len(w)) for s in blocks), ridge * w)
         gb = e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c, d = 1 - 0.9**k, 1 - 0.99**k
