@@ -38,6 +38,8 @@ STEPS = 25
 _WORD = r"[\x20\x09-\x0D]+"
 #: The characters that each measure counts.
 _COUNTED = {"symbols": "#*$%&|<>", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "marks": "!?", "digits": "0123456789"}
+#: One mark a kind of counted character, and a last one that stands for marks in the text itself.
+_MARKS = "\x01\x02\x03\x04\x05"
 #: Upper bin edges of each measure, per character or word.
 _EDGES = {
     "symbols": (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4),
@@ -63,13 +65,16 @@ def _binned(value: Column, edges: tuple[float, ...]) -> Column:
 def measures(docs: DataFrame, stems: tuple[str, ...]) -> DataFrame:
     """docs with n_tokens and the bins of each measure (_b_*)."""
     text = F.coalesce("text", F.lit(""))
-    x = docs.withColumn("_t", text).withColumn("_w", F.filter(F.split("_t", _WORD), lambda w: w != ""))
+    other, many = _MARKS[-1], list(zip(_COUNTED.values(), _MARKS, strict=False))
+    marked = F.translate("_t", "".join(c for c, _ in many) + _MARKS, "".join(mark * len(c) for c, mark in many) + other * len(_MARKS))  # one pass for all counted characters
+    x = docs.withColumn("_t", text).withColumn("_m", marked).withColumn("_w", F.filter(F.split("_t", _WORD), lambda w: w != ""))
     chars, words = F.greatest(F.length("_t"), F.lit(1)), F.greatest(F.size("_w"), F.lit(1))
-    value = {k: (F.length("_t") - F.length(F.translate("_t", c, ""))) / chars for k, c in _COUNTED.items()}
+    value = {k: (F.length("_m") - F.length(F.replace("_m", F.lit(mark)))) / chars for k, mark in zip(_COUNTED, _MARKS, strict=False)}
     value["width"] = F.length("_t") / words
     value["repeats"] = words / F.greatest(F.size(F.array_distinct("_w")), F.lit(1))
     value["stems"] = F.size(F.filter("_w", lambda w: F.lower(F.substring(w, 1, STEM)).isin(*stems))) if stems else F.lit(0)
-    return x.select(*docs.columns, F.size("_w").cast("long").alias("n_tokens"), *[_binned(v, _EDGES[k]).alias(f"_b_{k}") for k, v in value.items()])
+    x = x.select(*docs.columns, F.size("_w").cast("long").alias("n_tokens"), *[v.alias(f"_v_{k}") for k, v in value.items()])  # each value once, not once an edge
+    return x.select(*docs.columns, "n_tokens", *[_binned(F.col(f"_v_{k}"), _EDGES[k]).alias(f"_b_{k}") for k in value])
 
 
 def _domain(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -116,7 +121,9 @@ def posteriors(measured: DataFrame, model: Model) -> DataFrame:
 
 
 def rate(multipliers: list[float]) -> Column:
-    return F.greatest(F.lit(0.0), sum((F.lit(m) * F.col(f"p_{d}") for m, d in zip(multipliers, DOMAINS, strict=True)), F.lit(1.0)))
+    """The multipliers stand in one array value, which isn't part of the generated code: all steps of a fit share one compiled plan."""
+    terms = F.zip_with(F.array(*[F.col(f"p_{d}") for d in DOMAINS]), F.lit(multipliers), lambda p, m: p * m)
+    return F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(1.0), lambda a, x: a + x))
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
