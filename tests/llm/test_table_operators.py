@@ -113,6 +113,28 @@ def test_nn_descent_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_nn_descent_joins_tight_groups(spark):
+    """Two groups of 40 distinct vectors, tight inside (0.998) and linked with each other (0.96): lists fill from inside."""
+    rng = np.random.default_rng(6)
+    u, v, *_ = np.linalg.qr(rng.standard_normal((48, 2)))[0].T
+    w = 0.96 * u + (1 - 0.96**2) ** 0.5 * v
+    rows = []
+    for g, c in enumerate((u, w)):
+        for k in range(40):
+            e = rng.standard_normal(48)
+            rows.append((100 * g + k, (c + 0.032 * e / np.linalg.norm(e)).tolist(), 0))
+    rows += [(1000 + k, rng.standard_normal(48).tolist(), 0) for k in range(200)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for i, _, _ in rows[:80]:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (79, 0, i == 0)
+
+
+def test_nn_descent_tells_low_recall(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit", lambda nodes, links: 0.5)
+    with pytest.raises(RuntimeError):
+        embedding_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.1], 0), (2, [1.0, 0.2], 0)], "vec_id long, embedding array<double>, label int"), tries=1)
+
+
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; shoulders</h1><p><b>One\n two<br>three<p>Four &#8212; five</p></article><footer>&copy; x</footer>'
 
 

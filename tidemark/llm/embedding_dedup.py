@@ -5,11 +5,15 @@ are one node with a multiplicity. A first neighbour graph comes from leaves of
 random hyperplane trees; NN-descent rounds then join neighbours of neighbours:
 the members of each node's neighbourhood are compared with one another and
 better neighbours replace worse ones. Only neighbours of at least FLOOR count,
-as the graph serves a threshold far above it. Neighbour lists hold K entries;
-where a list is saturated with links, it is enlarged to the node's whole
-component, whose members are compared in blocks. Recall is audited against
-brute force for a bounded sample of nodes, and further trees are grown until it
-is reached. Threshold edges are kept.
+as the graph serves a threshold far above it. Neighbour lists hold K entries
+inside the node's component as known so far, and K outside it. Every pair at the
+threshold that any comparison tells goes to a table of its own, before lists
+are cut to K. Where a list is saturated with links, the components are joined
+and the search is repeated, so that links inside a tight group no longer keep
+out those to others, until no list is saturated. Links are then counted in each
+whole component, whose members are compared in blocks. Recall is audited against
+brute force for bounded samples of all nodes and of those with links; further
+trees are grown until it is reached, and an error tells where it isn't.
 
 Leaves and neighbourhoods that outgrow their size are split by hash, anew each
 round, so that no task holds an unbounded group; what a split parts, the
@@ -70,9 +74,9 @@ def _codes(seed: int):
     return run
 
 
-def _nearest(ids: list[int], vectors: list, k: int) -> tuple[list, list, list]:
-    """Of each vector, up to k others of the same length with cosine FLOOR or more."""
-    a, b, c = [], [], []
+def _nearest(ids: list[int], vectors: list, comps: list[int], k: int) -> tuple[list, list, list, list]:
+    """Of each vector, up to k others of the same length with cosine FLOOR or more inside its component (own), and k outside."""
+    a, b, c, own_ = [], [], [], []
     for dim in {len(v) for v in vectors}:
         rows = [i for i, v in enumerate(vectors) if len(v) == dim]
         if len(rows) < 2:
@@ -81,32 +85,37 @@ def _nearest(ids: list[int], vectors: list, k: int) -> tuple[list, list, list]:
         x = _unit([vectors[i] for i in rows])
         s = x @ x.T
         np.fill_diagonal(s, -2)
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(s, top, 1)
-        i, j = np.nonzero(value >= FLOOR)
-        a += own[i].tolist()
-        b += own[top[i, j]].tolist()
-        c += value[i, j].tolist()
-    return a, b, c
+        comp = np.array([comps[i] for i in rows])
+        same = comp[:, None] == comp
+        for inside in (False, True):
+            one = np.where(same == inside, s, -2)
+            top = np.argsort(-one, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(one, top, 1)
+            i, j = np.nonzero(value >= FLOOR)
+            a += own[i].tolist()
+            b += own[top[i, j]].tolist()
+            c += value[i, j].tolist()
+            own_ += [inside] * len(i)
+    return a, b, c, own_
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for members in batch.column("members"):
-            seen = {m["id"]: m["embedding"] for m in members.as_py()}
-            a, b, c = _nearest(list(seen), list(seen.values()), K)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["a", "b", "cosine"])
+            seen = {m["id"]: m for m in members.as_py()}
+            a, b, c, own = _nearest(list(seen), [m["embedding"] for m in seen.values()], [m["comp"] for m in seen.values()], K)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(own, pa.bool_())], ["a", "b", "cosine", "own"])
 
 
 def _grouped(rows: DataFrame, *by: str) -> DataFrame:
-    """(a, b, cosine) from comparing the members (id, embedding) of each group."""
-    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "embedding")).alias("members")).where(F.size("members") > 1).select("members").mapInArrow(_compare, "a long, b long, cosine double")
+    """(a, b, cosine, own) from comparing the members (id, embedding, comp) of each group."""
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "embedding", "comp")).alias("members")).where(F.size("members") > 1).select("members").mapInArrow(_compare, "a long, b long, cosine double, own boolean")
 
 
 def _best(edges: DataFrame) -> DataFrame:
-    """The K best neighbours of each node."""
-    each = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    """The K best neighbours of each node inside its component and the K best outside."""
+    each = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("own").alias("own"))
+    order = Window.partitionBy("a", "own").orderBy(F.desc("cosine"), "b")
     return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= K).drop("place")
 
 
@@ -118,7 +127,7 @@ def leaves(nodes: DataFrame, seed: int) -> DataFrame:
     placed = cut(placed.select("id", "label", "tree", F.expr("code >> (24 - depth)").alias("leaf")), "placed")
     full = cut(placed.groupBy("label", "tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts")), "full")
     split = placed.join(full, ["label", "tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), "parts"))
-    return _grouped(cut(split, "split").join(nodes.select("id", "embedding"), "id"), "label", "tree", "leaf", "part")
+    return _grouped(cut(split, "split").join(nodes.select("id", "embedding", "comp"), "id"), "label", "tree", "leaf", "part")
 
 
 def descend(nodes: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
@@ -127,7 +136,7 @@ def descend(nodes: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
     both = cut(both, "both")
     parts = cut(both.groupBy("a").agg(F.ceil(F.count("*") / (4 * K)).alias("parts")), "parts")
     dealt = both.join(parts, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b", F.lit(turn)), "parts").alias("part"))
-    return _grouped(cut(dealt, "dealt").join(nodes.select("id", "embedding"), "id"), "a", "part")
+    return _grouped(cut(dealt, "dealt").join(nodes.select("id", "embedding", "comp"), "id"), "a", "part")
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +172,10 @@ def count_links(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, links: DataFrame) -> float:
-    """Share of the links of AUDIT sampled nodes, found by brute force against all nodes, that links(id, links) has."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "embedding").toArrow().to_pylist()
+    """Share of the links of AUDIT nodes of all and AUDIT nodes with links, found by brute force against all nodes, that links(id, links) has; the lower of the two."""
+    first = lambda x: x.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "embedding").toArrow().to_pylist()
+    whole, linked = first(nodes), first(nodes.join(links.where("links > 0").select("id"), "id", "left_semi"))
+    sample = list({s["id"]: s for s in whole + linked}.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = dict.fromkeys([s["id"] for s in sample], 0)
@@ -183,31 +194,63 @@ def audit(nodes: DataFrame, links: DataFrame) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "true"])
 
     true = nodes.select("id", "label", "embedding", "n").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    row = true.join(links, "id", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return row["found"] / row["true"] if row["true"] else 1.0
-
-
-def near_duplicates(vectors: DataFrame, tries: int = 3) -> DataFrame:
+    got = {r["id"]: r for r in true.join(links, "id", "left").select("id", "true", F.least("true", F.coalesce("links", F.lit(0))).alias("found")).collect()}
+    shares = []
+    for part in (whole, linked):
+        mine = [got[s["id"]] for s in part]
+        all_ = sum(r["true"] for r in mine)
+        shares.append(sum(r["found"] for r in mine) / all_ if all_ else 1.0)
+    return min(shares)
+
+
+def search(nodes: DataFrame, graph: DataFrame | None, linked: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """One search from new trees: (graph, linked, parts, saturated). linked(a, b) has all pairs at the threshold that were compared and told."""
+    parts = None if linked is None else cut(components(linked).select("id", F.col("component").alias("comp")), "parts")
+    if parts is None:
+        nodes = nodes.withColumn("comp", F.col("id"))
+    else:
+        nodes = cut(nodes.join(parts, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed-nodes")
+    if graph is not None:  # which neighbours are inside by now
+        comps = lambda end: nodes.select(F.col("id").alias(end), F.col("comp").alias(f"_{end}"))
+        graph = graph.drop("own").join(comps("a"), "a").join(comps("b"), "b").select("a", "b", "cosine", (F.col("_a") == F.col("_b")).alias("own"))
+    tables = [] if linked is None else [linked]
+    before = 0.0
+    for k in range(ROUNDS + 1):
+        found = cut(descend(nodes, graph, 10 * seed + k) if k else leaves(nodes, seed), "found")
+        tables.append(found.where(F.col("cosine") >= COSINE).select("a", "b"))
+        graph = cut(_best(found if graph is None else graph.union(found.select(graph.columns))), "graph")
+        now = graph.agg(F.sum("cosine")).first()[0] or 0.0
+        if k and now <= 1.001 * before:
+            break
+        before = now
+    full = graph.where((F.col("cosine") >= COSINE) & ~F.col("own")).groupBy("a").count().where(F.col("count") >= K)
+    saturated = not full.isEmpty()
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.union(t)
+    linked = cut(every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "linked")
+    parts = cut(components(linked), "parts")
+    return graph, linked, parts, saturated
+
+
+def near_duplicates(vectors: DataFrame, tries: int = 12) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label)."""
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", "label", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "embedding")).alias("id"))
     nodes = cut(rows.where("id is not null").groupBy("id").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")), "nodes")
-    graph = None
-    for turn in range(tries):
-        found = leaves(nodes, turn)
-        graph = cut(_best(found if graph is None else graph.union(found)), "graph")
-        before = graph.count()
-        for k in range(ROUNDS):
-            graph = cut(_best(graph.union(descend(nodes, graph, 10 * turn + k))), "graph")
-            now = graph.count()
-            if now <= 1.001 * before:
-                break
-            before = now
-        parts = cut(components(graph.where(F.col("cosine") >= COSINE).select("a", "b")), "parts").withColumnRenamed("id", "node")
-        parts = cut(parts.select(F.col("node").alias("id"), "component"), "parts")
+    graph = linked = None
+    seed = 0
+    for _ in range(tries):
+        saturated = True
+        while saturated:  # a saturated list joins its component with K others, so that this ends
+            graph, linked, parts, saturated = search(nodes, graph, linked, seed)
+            seed += 1
         links = cut(count_links(nodes, parts), "links")
-        if audit(nodes, links) >= RECALL:
+        recall = audit(nodes, links)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"near_duplicates: recall {recall:.3f} of {RECALL} after {seed} searches")
     named = nodes.select("id", "n", "least").join(parts, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = cut(named, "named")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
