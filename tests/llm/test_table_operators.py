@@ -164,6 +164,19 @@ def test_html_differencing(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differencing_decides_beside_articles(spark):
+    """Plain lines beside an article and lines in main are decided by the neighbours; copies at adjacent URLs are one place, also over partitions."""
+    rows = [(k, f"http://h.example/a/{k:02}", f"<article><p>Teaser {k}</p></article><div>Body {k} alone</div><div>All rights</div>") for k in range(5)]
+    rows += [(10 + k, f"http://m.example/a/{k:02}", f"<main><p>Logo text</p><p>Text {k}</p></main>") for k in range(5)]
+    rows += [(100 + k, f"http://c.example/b/{k:03}", f"<div>Logo text</div><p>{'Same' if 2 <= k < 57 else k}</p>") for k in range(60)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for k in range(5):
+        assert got[k] == f"Teaser {k}\nBody {k} alone"
+        assert got[10 + k] == f"Text {k}"
+    for k in range(60):
+        assert got[100 + k] == ("Same" if 2 <= k < 57 else str(k))
+
+
 def test_pipeline(docs, labels, spark):
     path = f"{scratch(spark)}/pipeline-test"
     docs.write.parquet(f"{path}/documents.parquet")

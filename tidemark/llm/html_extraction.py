@@ -7,8 +7,10 @@ are template lines and deleted. Markup that names its role (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) is deleted whatever the
 neighbours hold. Inside an explicit article element a shared line is the
 article's own wording (a quotation, a licence line, a mirrored article) and
-stays; elsewhere the differencing decides. A neighbour that holds the whole
-page counts as its copy, and says nothing about templates.
+stays; elsewhere, a main element and plain lines beside an article included,
+the differencing decides. Copies at adjacent URLs count as one place, so that a
+page meets the nearest pages of other content. A neighbour that holds the whole
+page all the same counts as its copy, and says nothing about templates.
 
 Cases: null or empty html gives empty text; a null url pairs among pages
 without host; repeated rows get equal results; a page without neighbours keeps
@@ -100,7 +102,7 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
         bad = name in DROPPED or bool(named and name not in ("html", "body", "article", "main") and _NAMED.search(named))
         if name in DROPPED or bad:
             flush()
-        open_.append((name, bad, name in ("article", "main")))
+        open_.append((name, bad, name == "article"))
     flush()
     return texts, kinds
 
@@ -158,7 +160,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        yield pd.DataFrame({"rk": x["rk"], "host": x["host"], "path": x["path"], "hashes": [_hashes(lines_of(h)[0]) for h in x["html"]]})
+        hashes, content = [], []
+        for h in x["html"]:
+            texts, kinds = lines_of(h)
+            hashes.append(_hashes(texts))
+            content.append(_hashes(["\n".join(t for t, kind in zip(texts, kinds, strict=True) if kind)])[0])
+        yield pd.DataFrame({"rk": x["rk"], "host": x["host"], "path": x["path"], "hashes": hashes, "content": content})
 
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +180,7 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     same = shared(mine, list(other))
                     if not content or not same.issuperset(content):
                         template |= same
-            keep = [t for k, (t, kind) in enumerate(zip(texts, kinds, strict=True)) if kind == 2 or kind == 1 and k not in template and 2 not in kinds]
+            keep = [t for k, (t, kind) in enumerate(zip(texts, kinds, strict=True)) if kind == 2 or kind == 1 and k not in template]
             out.append(("\n".join(keep), len(template)))
         yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": [t for t, _ in out], "n_chars": [len(t) for t, _ in out], "n_shared": [n for _, n in out]})
 
@@ -185,16 +192,32 @@ def neighbours(pages: DataFrame) -> DataFrame:
     over tasks; what stands at a partition's edges meets through a table of one
     row per partition.
     """
-    lines = cut(pages.mapInPandas(_lines, "rk long, host string, path string, hashes array<long>").dropDuplicates(["rk"]), "lines")
+    lines = cut(pages.mapInPandas(_lines, "rk long, host string, path string, hashes array<long>, content long").dropDuplicates(["rk"]), "lines")
     n = max(1, lines.rdd.getNumPartitions(), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = cut(lines.repartitionByRange(n, "host", "path", "rk").sortWithinPartitions("host", "path", "rk").select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("place")), "order")
-    edge = F.struct("host", "hashes")
-    edges = order.groupBy("pid").agg(F.min_by(edge, "place").alias("first"), F.max_by(edge, "place").alias("last"))
-    by = Window.orderBy("pid")
-    edges = cut(edges.select("pid", F.lag("last").over(by).alias("prior"), F.lead("first").over(by).alias("next")), "edges")
+    order = lines.withColumn("content", F.xxhash64("host", "content")).repartitionByRange(n, "host", "path", "rk").sortWithinPartitions("host", "path", "rk")
+    order = cut(order.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("place")), "order")
+    edge = F.struct("host", "hashes", "content")
     run = Window.partitionBy("pid").orderBy("place")
-    x = order.select("rk", "host", "pid", F.lag(edge).over(run).alias("l"), F.lead(edge).over(run).alias("r"))
-    x = x.join(edges, "pid").select("rk", "host", F.coalesce("l", "prior").alias("l"), F.coalesce("r", "next").alias("r"))
+    # At the ends of a run of equal content stand its neighbours; they are carried through the run.
+    turn = lambda step: F.when(step("content").over(run) != F.col("content"), step(edge).over(run))
+    x = order.select("*", turn(F.lag).alias("_l"), turn(F.lead).alias("_r"))
+    x = cut(x.select("rk", "host", "pid", "place", "hashes", "content", F.last("_l", True).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("l"), F.first("_r", True).over(run.rowsBetween(0, Window.unboundedFollowing)).alias("r")), "runs")
+    edges = cut(x.groupBy("pid").agg(F.min_by(edge, "place").alias("first"), F.max_by(edge, "place").alias("last"), F.max_by("l", "place").alias("inner_last"), F.min_by("r", "place").alias("inner_first")), "edges")
+    # Where a run reaches its partition's edge: the nearest other content beyond it, looked up by a few numbers a partition.
+    ends = edges.select("pid", *[F.col(c)["content"].alias(c) for c in ("first", "last", "inner_last", "inner_first")]).orderBy("pid").collect()
+    beyond = []
+    for own, near, inner, at in (("first", "last", "inner_last", ends), ("last", "first", "inner_first", ends[::-1])):
+        seen: list[tuple[int, str, int]] = []  # the two nearest contents that differ
+        for e in at:
+            found = next((s for s in seen if s[2] != e[own]), None)
+            if found:
+                beyond.append((e["pid"], own, found[0], found[1]))
+            both = [(e["pid"], c, e[c]) for c in (near, inner) if e[c] is not None]
+            seen = both if len(both) == 2 else [*both, *(s for s in seen if s[2] != both[0][2])][:2]
+    places = lines.sparkSession.createDataFrame(beyond, "pid int, own string, source int, which string")
+    values = edges.select(F.col("pid").alias("source"), F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("value")) for c in ("first", "last", "inner_last", "inner_first")])).alias("v")).select("source", "v.*")
+    outer = places.join(values, ["source", "which"]).groupBy("pid").agg(F.first(F.when(F.col("own") == "first", F.col("value")), True).alias("prior"), F.first(F.when(F.col("own") == "last", F.col("value")), True).alias("next"))
+    x = x.join(F.broadcast(cut(outer, "outer")), "pid", "left").select("rk", "host", F.coalesce("l", "prior").alias("l"), F.coalesce("r", "next").alias("r"))
     other = lambda c: F.when(F.col(c)["host"].eqNullSafe(F.col("host")), F.col(c)["hashes"])
     return x.select("rk", other("l").alias("before"), other("r").alias("after"))
 
