@@ -71,6 +71,20 @@ def test_mixing_meets_targets(docs, labels, no_labels, empty):
     assert mixing.mixed(docs, labels).columns == docs.columns
 
 
+def test_mixture_keeps_clean_documents(spark):
+    """Clean documents hold more tokens than their target: none goes, and the others are repeated."""
+    p = [(k, 0.999, 0.0005, 0.0005) for k in range(300)] + [(300, 0.001, 0.998, 0.001), (301, 0.001, 0.001, 0.998)]
+    members = spark.createDataFrame([(k, 100, *x) for k, *x in p], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
+    multipliers = mixing.fit_rates(members, corpus_pipeline.TARGETS)
+    got = {r.doc_id: r for r in members.select("doc_id", mixing.rate(multipliers).alias("rate"), mixing.copies(mixing.whole_rate(multipliers), F.col("doc_id")).alias("n")).collect()}
+    assert got[0].rate < 1
+    assert all(got[k].n >= 1 for k in range(300))
+    assert got[300].n > 1
+    # clean documents that should be repeated keep their rate, and a target of none for them takes none away
+    assert members.select(F.min(mixing.whole_rate([1.0, -1.0, -1.0]))).first()[0] < 0.01
+    assert members.where("doc_id < 300").select(F.min(mixing.whole_rate([-1.0, 0.0, 0.0]))).first()[0] == 1
+
+
 def test_compaction(docs, empty, spark):
     store = compaction.ShardStore(spark, f"{scratch(spark)}/store-test")
     assert store.version() == 0

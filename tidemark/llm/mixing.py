@@ -176,6 +176,17 @@ def copies(rate_: Column, salt: Column) -> Column:
     return (F.floor(rate_) + F.when(chance < rate_ - F.floor(rate_), 1).otherwise(0)).cast("int")
 
 
+def whole_rate(multipliers: list[float]) -> Column:
+    """The rates scaled so that clean documents never fall below 1: others are repeated or thinned instead.
+
+    All rates are divided by a clean document's where that is below 1, and a
+    document that is clean more likely than not gets 1 at least.
+    """
+    clean = 1.0 + multipliers[0]
+    scaled = rate(multipliers) / clean if 0 < clean < 1 else rate(multipliers)
+    return F.when(F.col(f"p_{DOMAINS[0]}") >= 0.5, F.greatest(F.lit(1.0), scaled)).otherwise(scaled)
+
+
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], learn_from: DataFrame | None = None) -> tuple[DataFrame, tuple[str, ...], Model, list[float]]:
     """Memberships of all docs (a written table), and what they and the rates come from. Texts are measured once."""
     sample = sample_of(docs if learn_from is None else learn_from, labels)
@@ -193,8 +204,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs, each row as often as its copies say. learn_from: labelled documents, where docs are filtered ones."""
+    """docs, each row as often as its copies at the whole rate say. learn_from: labelled documents, where docs are filtered ones."""
     names = docs.columns
     _, stems, model, multipliers = _fitted(docs, labels, targets, learn_from)
     spread = posteriors(measures(docs.select("doc_id", "text", F.struct(*names).alias("_row")), stems), model)
-    return spread.withColumn("_n", copies(rate(multipliers), F.col("doc_id"))).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+    return spread.withColumn("_n", copies(whole_rate(multipliers), F.col("doc_id"))).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
