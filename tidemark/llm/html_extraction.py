@@ -201,7 +201,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
     # At the ends of a run of equal content stand its neighbours; they are carried through the run.
     turn = lambda step: F.when(step("content").over(run) != F.col("content"), step(edge).over(run))
     x = order.select("*", turn(F.lag).alias("_l"), turn(F.lead).alias("_r"))
-    x = cut(x.select("rk", "host", "pid", "place", "hashes", "content", F.last("_l", True).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("l"), F.first("_r", True).over(run.rowsBetween(0, Window.unboundedFollowing)).alias("r")), "runs")
+    x = x.select("rk", "host", "pid", "place", "hashes", "content", F.last("_l", True).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("l"), F.first("_r", True).over(run.rowsBetween(0, Window.unboundedFollowing)).alias("r"))  # not written: run twice, for less disk
     edges = cut(x.groupBy("pid").agg(F.min_by(edge, "place").alias("first"), F.max_by(edge, "place").alias("last"), F.max_by("l", "place").alias("inner_last"), F.min_by("r", "place").alias("inner_first")), "edges")
     # Where a run reaches its partition's edge: the nearest other content beyond it, looked up by a few numbers a partition.
     ends = edges.select("pid", *[F.col(c)["content"].alias(c) for c in ("first", "last", "inner_last", "inner_first")]).orderBy("pid").collect()
