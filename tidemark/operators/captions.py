@@ -1,4 +1,4 @@
-"""Caption phrases from timed words, and the fallback for segments without words."""
+"""Caption phrases from timed words; segments without words get none."""
 
 from __future__ import annotations
 
