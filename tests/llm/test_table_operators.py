@@ -68,7 +68,47 @@ def test_mixing_meets_targets(docs, labels, no_labels, empty):
         assert r[d] / r.t == pytest.approx(mixing.TARGETS[d], abs=0.02)
     assert mixing.mix(docs, no_labels).count() == docs.count()
     assert mixing.mix(empty, labels).count() == 0
-    assert mixing.mixed(docs, labels).columns == docs.columns
+    both = mixing.mixed(docs.withColumn("_w", F.lit(1)).withColumn("_row", F.lit(2)), labels)
+    assert both.columns == [*docs.columns, "_w", "_row"]
+    assert len(both._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert mixing.mixed(docs, no_labels).count() == docs.count()
+    assert mixing.mixed(empty, labels).count() == 0
+
+
+def test_mixing_reaches_the_least_squares_point(spark):
+    """Against projected gradient with a rate held for every document, and ties get equal rates."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 60)
+    p[30:] = p[:30]
+    t = rng.integers(1, 90, 60)
+    t[30:] = t[:30]
+    members = spark.createDataFrame([(k, int(t[k]), *map(float, p[k])) for k in range(60)], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
+    got = {r.doc_id: r.rate for r in members.select("doc_id", mixing.rate(mixing.fit_rates(members)).alias("rate")).collect()}
+    goal = np.array(list(mixing.TARGETS.values()))
+    moves = np.zeros(60)
+    for _ in range(200_000):
+        moves -= 0.3 * p @ ((t * np.maximum(0, 1 + moves)) @ p / t.sum() - goal)
+    want = np.maximum(0, 1 + moves)
+    assert np.abs((t * want) @ p / t.sum() - goal).max() < 1e-6
+    assert max(abs(got[k] - want[k]) for k in range(60)) < 0.02
+    assert all(got[k] == got[k + 30] for k in range(30))
+
+
+def test_mixing_classifier_learns(spark):
+    """Held-out accuracy of the memberships on three plain domains."""
+    rng = random.Random(9)
+    common = [f"word{k}" for k in range(60)]
+    rows, marks = [], []
+    for i in range(900):
+        domain = (0, 0, 0, 1, 2)[i % 5]
+        w = [rng.choice(common) for _ in range(50)]
+        if domain == 2:
+            w[3], w[9] = "scoundrel", "villain,"
+        text = " ".join(x.upper() + "!!" if domain == 1 else x for x in w)
+        rows.append((i, text))
+        marks.append((i, int(domain != 1), int(domain == 2)))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks[:600], "doc_id long, quality int, toxic int")).where("doc_id >= 600").collect()
+    assert np.mean([(r.p_clean, r.p_low, r.p_toxic)[(0, 0, 0, 1, 2)[r.doc_id % 5]] > 0.5 for r in got]) > 0.95
 
 
 def test_mixture_keeps_clean_documents(spark):
