@@ -6,9 +6,14 @@ histogram lies too far from its language's (Jensen-Shannon distance, base 2)
 is rejected. Documents shorter than the guards are judged by the base rules
 alone, since a short text's histogram is noise.
 
+Every language has a reference of its own. Those of languages with a thousandth
+of the documents or more, a thousand at most, are sent to all tasks; documents
+of rarer languages meet theirs in a join, where no key is hot.
+
 Cases: a null text has no words and fails the base rules; a null language is a
-language of its own; languages that hold under a thousandth of the documents
-share one reference; repeated rows get equal results; empty tables give none.
+language of its own, and so is an empty one; a language without words has no
+word reference, and its documents no word distance; repeated rows get equal
+results; empty tables give none; words may hold any character.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 
 MIN_WORDS = 20  # base rule
 MAX_REPEATED = 30  # base rule: per cent of words in repeated windows
@@ -118,50 +123,63 @@ def _words(text: bytes) -> list[bytes]:
     return [w.strip(_EDGES) for w in text.translate(_WORDS).split()]
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task and language, the counts of classes (as words '\\x00' + class) and of words."""
+#: What a count is of: a word, a character class, or the words and documents of a language.
+WORD, CLASS, TOTAL = 0, 1, 2
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and language, the counts of words, of character classes, and of all words and documents."""
     from collections import Counter
 
     found: dict[str, Counter] = {}
 
-    def rows() -> pd.DataFrame:
-        x = pd.DataFrame([(lang, w.decode("utf-8", "replace"), n) for lang, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
+    def rows() -> pa.RecordBatch:
+        x = [(lang, kind, w.decode("utf-8", "replace"), n) for lang, c in found.items() for (kind, w), n in c.items()]
         found.clear()
-        return x
+        columns = list(zip(*x, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "kind", "word", "n"])
 
-    for x in batches:
-        for lang, t in zip(x["lang"], x["text"], strict=True):
+    for b in slices(batches):
+        for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             c = found.setdefault(lang, Counter())
-            b = (t or "").encode("utf-8", "surrogatepass")
-            words = _words(b)
-            c.update(words)
-            c[b"\x00words"] += len(words)
-            for name, n in zip(CLASSES, class_counts(b), strict=True):
-                c[b"\x00" + name.encode()] += int(n)
+            text = (t or "").encode("utf-8", "surrogatepass")
+            words = _words(text)
+            c.update((WORD, w) for w in words)
+            c[TOTAL, b"words"] += len(words)
+            c[TOTAL, b"docs"] += 1
+            for name, n in zip(CLASSES, class_counts(text), strict=True):
+                c[CLASS, name.encode()] += int(n)
         if sum(map(len, found.values())) > 400_000:
             yield rows()
     yield rows()
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, float]]]:
-    """Of each language: shares of the character classes, and shares of the common words.
+def references(docs: DataFrame) -> DataFrame:
+    """(lang, docs, words, counts): of each language of docs(lang, text) the rows and words, and the counts of classes and common words.
 
-    Counted over all rows. What comes to the driver is bounded: at most 1000
-    languages, and at most 1 / SHARE words of each.
+    Counted over all rows; at most 1 / SHARE words and all classes a language.
     """
-    counts = cut(docs.mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    total = counts.where(F.col("word") == "\x00words").select("lang", F.col("n").alias("total"))
-    rows = counts.join(F.broadcast(total), "lang").where((F.substring("word", 1, 1) == "\x00") | (F.col("n") >= F.greatest(F.lit(1.0), F.col("total") * SHARE)) & (F.col("word") != ""))
-    chars: dict[str, np.ndarray] = {}
-    words: dict[str, dict[bytes, float]] = {}
-    for r in rows.collect():
-        if r.word == "\x00words":
-            continue
-        if r.word[0] == "\x00":
-            chars.setdefault(r.lang, np.zeros(len(CLASSES)))[CLASSES.index(r.word[1:])] = r.n
-        else:
-            words.setdefault(r.lang, {})[r.word.encode()] = r.n / r.total
-    return {k: (v / max(1.0, v.sum()), words.get(k, {})) for k, v in chars.items()}
+    counts = cut(docs.mapInArrow(_count, "lang string, kind int, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "words")
+    total = lambda name: F.max(F.when(F.col("word") == name, F.col("n"))).alias(name)
+    totals = cut(counts.where(F.col("kind") == TOTAL).groupBy("lang").agg(total("docs"), total("words")), "totals")
+    common = counts.join(totals, "lang").where((F.col("kind") == CLASS) | (F.col("kind") == WORD) & (F.col("n") >= F.greatest(F.lit(1.0), F.col("words") * SHARE)) & (F.col("word") != ""))
+    return cut(common.groupBy("lang").agg(F.first("docs").alias("docs"), F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("kind", "word", "n"))).alias("counts")), "references")
+
+
+class Reference:
+    """Shares of the character classes and of the common words of one language; the last share is of all other words."""
+
+    def __init__(self, words: int, counts: list[dict]) -> None:
+        chars = np.zeros(len(CLASSES))
+        shares = {}
+        for c in counts:
+            if c["kind"] == CLASS:
+                chars[CLASSES.index(c["word"])] = c["n"]
+            else:
+                shares[c["word"].encode("utf-8", "surrogatepass")] = c["n"] / words
+        self.chars = chars / max(1.0, chars.sum())
+        self.place = {w: i for i, w in enumerate(shares)}
+        self.words = np.array([*shares.values(), max(0.0, 1 - sum(shares.values()))])
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -172,37 +190,52 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
         return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
 
 
-def judge(docs: DataFrame, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
-    """For each row of docs(doc_id, text, lang): the base counts, both distances (null below the guards), the verdict."""
-    docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    # Rare languages share a reference, so that what is sent to tasks is bounded.
-    rare = F.broadcast(docs.groupBy("lang").count().where(F.col("count") * 1000 >= docs.count()).select("lang", F.lit(True).alias("big")))
-    docs = docs.join(rare, "lang", "left").select("doc_id", "text", F.when(F.col("big"), F.col("lang")).otherwise("\x00rare").alias("lang"))
-    known = references(docs)
-    tables = {k: (c, list(w), np.array([*w.values(), max(0.0, 1 - sum(w.values()))])) for k, (c, w) in known.items()}
-
-    def verdict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in x["text"]]
+_VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+
+
+def _verdicts(known: dict[str, Reference], max_chars: float, max_words: float):
+    """known: references by language; rows of another language carry words and counts of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str | None, Reference | None] = (None, None)
+        for b in slices(batches):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             n, repeated = _base(texts)
             rows = []
-            for lang, t, n_words, n_repeat in zip(x["lang"], texts, n.tolist(), repeated.tolist(), strict=True):
+            for k, (lang, t, n_words, n_repeat) in enumerate(zip(b.column("lang").to_pylist(), texts, n.tolist(), repeated.tolist(), strict=True)):
+                ref = known.get(lang)
+                if ref is None:
+                    if held[0] != lang:
+                        held = lang, Reference(b.column("words")[k].as_py(), b.column("counts")[k].as_py())
+                    ref = held[1]
                 chars = class_counts(t)
                 n_chars = int(chars.sum())
                 word_chars = n_chars - sum(map(t.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEATED * n_words
-                c, w = math.nan, math.nan
-                p, names, q = tables[lang]
-                if n_chars >= GUARD_CHARS:
-                    c = distance(chars / n_chars, p)
-                if n_words >= GUARD_WORDS and names:
-                    place = {k: i for i, k in enumerate(names)}
-                    own = np.bincount([place.get(k, len(names)) for k in _words(t)], minlength=len(names) + 1)
-                    w = distance(own / own.sum(), q)
-                far = c > max_chars or w > max_words
+                c = distance(chars / n_chars, ref.chars) if n_chars >= GUARD_CHARS else None
+                w = None
+                if n_words >= GUARD_WORDS and ref.place:
+                    own = np.bincount([ref.place.get(x, len(ref.place)) for x in _words(t)], minlength=len(ref.words))
+                    w = distance(own / own.sum(), ref.words)
+                far = (c or 0.0) > max_chars or (w or 0.0) > max_words
                 rows.append((n_words, word_chars, sum(map(t.count, (bytes([s]) for s in SYMBOLS))), dup_lines(t), n_repeat, failed, not failed and not far, c, w))
-            yield pd.concat([x[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])], axis=1)
+            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            columns = [pa.array(x, kind) for x, kind in zip(list(zip(*rows, strict=True)) or [[]] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], [x.split()[0] for x in _VERDICT.split(", ")])
 
-    return docs.mapInPandas(verdict, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")
+    return run
 
 
+def judge(docs: DataFrame, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
+    """For each row of docs(doc_id, text, lang): the base counts, both distances (null below the guards), the verdict."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"))
+    found = references(docs)
+    rows = found.agg(F.sum("docs")).first()[0] or 0
+    frequent = found.where(F.col("docs") * 1000 >= rows).collect()  # at most 1000 languages
+    known = {r.lang: Reference(r.words, [c.asDict() for c in r.counts]) for r in frequent}
+    out = docs.where(F.col("lang").isin(*known)).mapInArrow(_verdicts(known, max_chars, max_words), _VERDICT)
+    rare = found.where(F.col("docs") * 1000 < rows)
+    if rare.isEmpty():
+        return out
+    others = docs.where(~F.col("lang").isin(*known)).join(rare.select("lang", "words", "counts"), "lang")
+    return out.union(others.select("doc_id", "text", "lang", "words", "counts").mapInArrow(_verdicts({}, max_chars, max_words), _VERDICT))
