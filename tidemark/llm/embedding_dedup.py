@@ -50,6 +50,7 @@ RECALL = 0.97
 
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components would leave the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -65,7 +66,7 @@ def _codes(seed: int):
             for dim, rows in by.items():
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, TREES * BITS))
-                up = (np.array([vectors[i] for i in rows], np.float64) @ planes[dim] > 0).reshape(len(rows), TREES, BITS)
+                up = (_unit([vectors[i] for i in rows]) @ planes[dim] > 0).reshape(len(rows), TREES, BITS)
                 codes = (up * (1 << np.arange(BITS)[::-1])).sum(axis=2)
                 for i, c in zip(rows, codes.tolist(), strict=True):
                     out[i] = c
@@ -236,8 +237,9 @@ def search(nodes: DataFrame, graph: DataFrame | None, linked: DataFrame | None,
 def near_duplicates(vectors: DataFrame, tries: int = 12) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label)."""
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", "embedding", "label", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "embedding")).alias("id"))
-    nodes = cut(rows.where("id is not null").groupBy("id").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")), "nodes")
+    rows = vectors.select("vec_id", "embedding", "label", F.coalesce(good, F.lit(False)).alias("good"))
+    each = rows.where("good").groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    nodes = cut(each.select(F.monotonically_increasing_id().alias("id"), "label", "embedding", "n", "least"), "nodes")
     graph = linked = None
     seed = 0
     for _ in range(tries):
@@ -254,6 +256,7 @@ def near_duplicates(vectors: DataFrame, tries: int = 12) -> DataFrame:
     named = nodes.select("id", "n", "least").join(parts, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = cut(named, "named")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    classes = cut(named.join(smallest, "component").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "classes")
-    out = rows.select("vec_id", "id").join(classes, "id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    classes = named.join(smallest, "component").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    classes = cut(nodes.select("id", "label", "embedding").join(classes, "id").drop("id"), "classes")
+    out = rows.join(classes, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
