@@ -5,10 +5,11 @@ before and after them by URL path within their host, their lines are aligned
 by longest common subsequence, and lines that a page shares with a neighbour
 are template lines and deleted. Markup that names its role (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) is deleted whatever the
-neighbours hold. Inside an explicit article element a shared line is the
-article's own wording (a quotation, a licence line, a mirrored article) and
-stays; elsewhere, a main element and plain lines beside an article included,
-the differencing decides. Copies at adjacent URLs count as one place, so that a
+neighbours hold. In the paragraphs, headings, quotations and tables of an
+explicit article element a shared line is the article's own wording (a licence
+line, a mirrored article) and stays; elsewhere the differencing decides: in
+unnamed boxes and lists inside an article, in a main element, and for lines
+beside an article. Copies at adjacent URLs count as one place, so that a
 page meets the nearest pages of other content. A neighbour that holds the whole
 page all the same counts as its copy, and says nothing about templates.
 
@@ -34,18 +35,18 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 DROPPED = frozenset("nav header footer aside form script style noscript template head title button select textarea iframe svg menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-ROLES = r"\b(ad|ads|advert|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|footer|sidebar|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|comments?|respond|disqus|related|share|social|widget|pagination|login|search)\b"
+PROSE = frozenset("article p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption caption table tbody tr td th dl dt dd".split())
+CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+ROLES = r"\b(ad|ads|advert|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|(?<!article-)(?<!entry-)(?<!post-)(?<!story-)header|footer|sidebar|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|comments?|respond|disqus|related|share|social|widget|pagination|login|search)\b"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ROLE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMED = re.compile(ROLES, re.I)
 _SPACE = re.compile(r"\s+")
-#: Closing one of these also closes an open p, li or inline element inside it.
-_KINDS = {"template": 0, "plain": 1, "article": 2}
 
 
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
-    """The page's text lines in order, and the kind of each: 0 marked as no content, 1 plain, 2 inside an article."""
+    """The page's text lines in order, and the kind of each: 0 marked as no content, 1 plain, 2 wording of an article."""
     texts: list[str] = []
     kinds: list[int] = []
     open_: list[tuple[str, bool, bool]] = []
@@ -60,7 +61,8 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
             if line:
                 dropped = any(x[1] for x in open_)
                 texts.append(line)
-                kinds.append(0 if dropped else 2 if any(x[2] for x in open_) else 1)
+                block = next((x[0] for x in reversed(open_) if x[0] in BLOCKS), "")
+                kinds.append(0 if dropped else 2 if block in PROSE and any(x[2] for x in open_) else 1)
 
     size = len(page)
     while at < size:
@@ -88,9 +90,14 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
             continue
         if name in BLOCKS:
             flush()
+        if name in CLOSE_P:  # an open paragraph ends here, with whatever is open in it
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k][0] == "p":
+                    del open_[k:]
+                    break
+                if open_[k][0] in BLOCKS:
+                    break
         if name in VOID:
-            if name not in BLOCKS:
-                continue
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == name:
             open_.pop()
