@@ -6,12 +6,16 @@ probabilities of good quality and of toxicity. Grouped aggregations turn these
 into site posteriors: a host's mean is shrunk toward the global mean, a path's
 mean toward its host's, each with a prior strength estimated by the method of
 moments from the spread between groups, so that sparse sites fall back on the
-level above. A document's log odds are then shifted by what its site says.
+level above. A document's log odds are then shifted by what its site says
+without it: its own evidence is left out of its host's and its path's sums, so
+that nothing counts twice. Documents here have no URL: the host is their source
+and the path below it their language, unless other columns are named.
 
 Cases: a null text counts as empty; null hosts and paths are groups of their
 own; a document table without labels, or with one class only, keeps the global
 prior as evidence; repeated rows get equal results; empty tables give none.
-Columns named like the added ones are replaced.
+Columns named like the added ones (p_quality, p_toxic, site_* and post_* of
+both, score, keep) are replaced; other columns pass through.
 """
 
 from __future__ import annotations
@@ -36,7 +40,10 @@ BLOCK = 500_000
 #: Bytes of a word's beginning that count as a feature beside the word.
 PREFIX = 4
 SITE_WEIGHT = 0.5
+#: A site table of up to this many rows is broadcast (about 200 bytes a row); beyond it a site's documents are spread over salted keys.
+SITES, SALTS = 100_000, 16
 ADDED = ("p_quality", "p_toxic")
+_RESULTS = [f"{a}_{c}" for a in ("site", "post") for c in ADDED] + ["score", "keep"]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _EDGES = b".,;:!?\"'()[]"
 _UPPER = bytes(range(65, 91))
@@ -147,7 +154,7 @@ def evidence(docs: DataFrame, model: tuple, keep_text: bool = True) -> DataFrame
 
 
 def sites(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """(site_host, site_path, and for each evidence its shrunk site posterior and the global mean)."""
+    """(site_host, site_path, and for each evidence its shrunk site posterior, the global mean, and what both come from)."""
     by = scored.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("site_host"), F.coalesce(F.col(path).cast("string"), F.lit("\x00")).alias("site_path"))
     paths = cut(by.agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in ADDED]), "paths")
     hosts = cut(paths.groupBy("site_host").agg(F.sum("n").alias("host_n"), *[F.sum(f"sum_{c}").alias(f"host_sum_{c}") for c in ADDED]), "hosts")
@@ -167,32 +174,44 @@ def sites(scored: DataFrame, host: str, path: str) -> DataFrame:
 
     for c in ADDED:
         s = strength(hosts, "host_n", f"host_sum_{c}", F.lit(mean[c]), mean[c])
-        hosts = hosts.withColumn(f"host_{c}", (F.col(f"host_sum_{c}") + s * mean[c]) / (F.col("host_n") + s))
+        hosts = hosts.withColumn(f"host_prior_{c}", F.lit(s)).withColumn(f"host_{c}", (F.col(f"host_sum_{c}") + s * mean[c]) / (F.col("host_n") + s))
     both = cut(paths.join(hosts, "site_host"), "both")
     for c in ADDED:
         s = strength(both, "n", f"sum_{c}", F.col(f"host_{c}"), mean[c])
-        both = both.withColumn(f"site_{c}", (F.col(f"sum_{c}") + s * F.col(f"host_{c}")) / (F.col("n") + s)).withColumn(f"all_{c}", F.lit(mean[c]))
-    return cut(both.select("site_host", "site_path", *[f"{a}_{c}" for c in ADDED for a in ("site", "all")]), "sites")
+        both = both.withColumn(f"prior_{c}", F.lit(s)).withColumn(f"site_{c}", (F.col(f"sum_{c}") + s * F.col(f"host_{c}")) / (F.col("n") + s)).withColumn(f"all_{c}", F.lit(mean[c]))
+    return cut(both, "sites")
 
 
 def _decided(scored: DataFrame, place: DataFrame, host: str, path: str) -> DataFrame:
-    """scored with the site posteriors, the combined ones, score and keep."""
-    on = scored.withColumn("site_host", F.coalesce(F.col(host).cast("string"), F.lit("\x00"))).withColumn("site_path", F.coalesce(F.col(path).cast("string"), F.lit("\x00")))
-    x = on.join(place, ["site_host", "site_path"])
+    """scored with the site posteriors (of the other documents), the combined ones, score and keep.
+
+    A site table of at most SITES rows is broadcast; a larger one is joined,
+    with the documents of a site spread over SALTS keys.
+    """
+    names = [c for c in scored.columns if c not in _RESULTS]
+    where = [F.coalesce(F.col(host).cast("string"), F.lit("\x00")), F.coalesce(F.col(path).cast("string"), F.lit("\x00"))]
+    rows = scored.select(where[0].alias("site_host"), where[1].alias("site_path"), *[F.col(c).alias(f"own_{c}") for c in ADDED], F.struct(*names).alias("_in"))
+    if place.count() <= SITES:
+        x = rows.join(F.broadcast(place), ["site_host", "site_path"])
+    else:
+        spread = place.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        x = rows.withColumn("salt", F.pmod(F.xxhash64("_in"), F.lit(SALTS)).cast("int")).join(spread, ["site_host", "site_path", "salt"])
     logit = lambda c: F.log(F.greatest(F.lit(1e-9), c) / F.greatest(F.lit(1e-9), 1 - c))
     for c in ADDED:
-        z = logit(F.col(c)) + SITE_WEIGHT * (logit(F.col(f"site_{c}")) - logit(F.col(f"all_{c}")))
+        own = F.col(f"own_{c}")
+        above = (F.col(f"host_sum_{c}") - own + F.col(f"host_prior_{c}") * F.col(f"all_{c}")) / (F.col("host_n") - 1 + F.col(f"host_prior_{c}"))
+        x = x.withColumn(f"site_{c}", (F.col(f"sum_{c}") - own + F.col(f"prior_{c}") * above) / (F.col("n") - 1 + F.col(f"prior_{c}")))
+        z = logit(own) + SITE_WEIGHT * (logit(F.col(f"site_{c}")) - logit(F.col(f"all_{c}")))
         x = x.withColumn(f"post_{c}", 1 / (1 + F.exp(-z)))
     x = x.withColumn("score", F.col("post_p_quality") * (1 - F.col("post_p_toxic"))).withColumn("keep", (F.col("post_p_quality") >= 0.5) & (F.col("post_p_toxic") < 0.5))
-    return x
+    return x.select("_in.*", *_RESULTS)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_text: bool = True, fit_rows: int = FIT_ROWS) -> DataFrame:
     """docs with p_quality, p_toxic, the site posteriors, score (posterior of good and not toxic) and keep."""
     scored = cut(evidence(docs, fit(docs, labels, fit_rows), keep_text), "scored")
     place = sites(scored, host, path)
-    x = _decided(scored, place, host, path)
-    return x.drop("site_host", "site_path", "all_p_quality", "all_p_toxic")
+    return _decided(scored, place, host, path)
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
