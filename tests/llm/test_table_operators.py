@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -61,6 +62,40 @@ def test_sparse_sites_shrink_to_the_level_above(spark):
     assert 0 < got["new"].site_p_quality < mean
 
 
+@pytest.mark.parametrize("sites", [100_000, 0])
+def test_site_posteriors_equal_brute_force(spark, monkeypatch, sites):
+    """Shrinkage and leave-one-out against plain Python, with the broadcast and with the salted join."""
+    monkeypatch.setattr(quality_classifier, "SITES", sites)
+    rng = random.Random(11)
+    rows = [(i, (None, "a", "b", "c")[i % 4], ("x", None, "y")[i % 3] if i % 4 < 3 else f"p{i}", min(0.99, max(0.01, rng.gauss(0.2 + 0.2 * (i % 4), 0.1))), rng.random() * 0.3) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, h string, p string, p_quality double, p_toxic double")
+    place = quality_classifier.sites(df, "h", "p")
+    got = {r.doc_id: r for r in quality_classifier._decided(df.withColumn("n", F.lit(7)).withColumn("score", F.lit("old")), place, "h", "p").collect()}
+    assert len(got) == 90 and got[0].n == 7
+
+    def strength(groups, above, mu):
+        n = sum(len(v) for v in groups.values())
+        s = sum(len(v) * (np.mean(v) - above[k]) ** 2 for k, v in groups.items())
+        spread = (s - (len(groups) - 1) * mu * (1 - mu)) / max(1.0, n - sum(len(v) ** 2 for v in groups.values()) / n)
+        return 1e6 if spread <= mu * (1 - mu) * 1e-6 else min(1e6, max(1.0, mu * (1 - mu) / spread - 1))
+
+    logit = lambda p: math.log(p / (1 - p))
+    for col, c in ((3, "p_quality"), (4, "p_toxic")):
+        mu = np.mean([r[col] for r in rows])
+        hosts, paths = {}, {}
+        for r in rows:
+            hosts.setdefault(r[1], []).append(r[col])
+            paths.setdefault((r[1], r[2]), []).append(r[col])
+        s = strength(hosts, dict.fromkeys(hosts, mu), mu)
+        mean = {h: (sum(v) + s * mu) / (len(v) + s) for h, v in hosts.items()}
+        t = strength(paths, {k: mean[k[0]] for k in paths}, mu)
+        for r in rows:
+            above = (sum(hosts[r[1]]) - r[col] + s * mu) / (len(hosts[r[1]]) - 1 + s)
+            site = (sum(paths[r[1], r[2]]) - r[col] + t * above) / (len(paths[r[1], r[2]]) - 1 + t)
+            assert got[r[0]][f"site_{c}"] == pytest.approx(site, abs=1e-9)
+            assert logit(got[r[0]][f"post_{c}"]) == pytest.approx(logit(r[col]) + quality_classifier.SITE_WEIGHT * (logit(site) - logit(mu)), abs=1e-6)
+
+
 def test_mixing_meets_targets(docs, labels, no_labels, empty):
     r = mixing.mix(docs, labels).agg(F.sum("n_tokens").alias("t"), F.min("rate").alias("least"), *[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS]).first()
     assert r.least >= 0
@@ -128,22 +163,53 @@ def test_mixture_keeps_clean_documents(spark):
 def test_compaction(docs, empty, spark):
     store = compaction.ShardStore(spark, f"{scratch(spark)}/store-test")
     assert store.version() == 0
-    store.append(docs, shard_rows=4)
-    store.append(docs.limit(3), shard_rows=4)
+    wide = docs.withColumn("_run", F.lit("x")).withColumn("_row", F.lit(None).cast("int")).withColumn("file", F.lit(1))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    store.append(wide, shard_rows=4)
+    few = wide.limit(3).collect()
+    store.append(spark.createDataFrame(few, wide.schema), shard_rows=4)
     small = store.manifest().count()
-    before = store.read().groupBy("doc_id").count()
-    held = sorted(map(tuple, before.collect()), key=str)
+    held = rows(store.read())
+    assert held == sorted([tuple(r) for r in [*wide.collect(), *few]], key=repr)
     v = store.compact()
     assert v == 3
     assert store.manifest().count() < small
-    assert sorted(map(tuple, store.read().groupBy("doc_id").count().collect()), key=str) == held
-    assert store.read(1).count() == docs.count()
+    assert store.read().columns == wide.columns
+    assert rows(store.read()) == held
+    assert rows(store.read(1)) == rows(wide)
     assert store.compact() == v
     with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), v)
-    other = compaction.ShardStore(spark, f"{scratch(spark)}/store-empty")
-    other.append(empty)
-    other.compact()
+        store.commit(store.manifest(), v, store.schema())
+    assert rows(store.read()) == held
+    with pytest.raises(ValueError):
+        store.append(docs)
+
+
+def test_compaction_of_nothing(empty, spark):
+    store = compaction.ShardStore(spark, f"{scratch(spark)}/store-empty")
+    store.append(empty)
+    store.compact()
+    assert store.read().columns == empty.columns
+    assert store.read().count() == 0
+
+
+def test_compaction_runs_reach_over_ranges(spark):
+    """Runs are those of the whole order of a tier, however many ranges it is sorted in."""
+    store = compaction.ShardStore(spark, f"{scratch(spark)}/store-runs")
+    rng = random.Random(8)
+    files = [(f"f{k:03}", rng.randint(1, 900), k % 2, 1) for k in range(200)]
+    store.commit(spark.createDataFrame(files, "file string, bytes long, tier int, added long"), 1, spark.range(1).schema)
+    want = {}
+    for tier in (0, 1):
+        at = 0
+        for file, size in sorted(((f, n) for f, n, t, _ in files if t == tier), key=lambda x: (x[1], x[0])):
+            want.setdefault((tier, at // 2000), []).append(file)
+            at += size
+    got = {}
+    for r in store.runs(target=2000, min_run=4).collect():
+        got.setdefault(r.run, []).append(r.file)
+    sizes = {f: n for f, n, _, _ in files}
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) >= 4 or sum(map(sizes.get, x)) >= 1500 and len(x) > 1)
 
 
 def test_nn_descent_equals_brute_force(spark):
@@ -153,9 +219,11 @@ def test_nn_descent_equals_brute_force(spark):
     rows += [(1000 + k, (base[0] + 0.02 * rng.standard_normal(16)).tolist(), 0) for k in range(40)]
     rows += [(2000 + k, base[1].tolist(), 1) for k in range(30)]
     rows += [(3000, None, 0), (3001, [0.0] * 16, 0), (3002, base[0].tolist(), None), (3003, [float("nan")] * 16, 0), (3004, [1.0, None], 0), (3005, [], 0), (3006, [1.0, 0.0], 0), (3007, [1.0, 0.0], 0), (3008, base[0].tolist(), 1)]
+    rows += [(3100, [1e-200, 1e-200], 2), (3101, [3e-201, 3.1e-201], 2), (3102, [1e-200, -1e-200], 2), (3103, [1e300, 1e300], 2), (3104, [5e-324, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     good = [(i, np.array(v, float), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
-    links = {i: {j for j, w, m in good if j != i and m == lab and len(w) == len(v) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93} for i, v, lab in good}
+    good = [(i, v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()), lab) for i, v, lab in good]
+    links = {i: {j for j, w, m in good if j != i and m == lab and len(w) == len(v) and v @ w >= 0.93} for i, v, lab in good}
     for r in embedding_dedup.near_duplicates(df).collect():
         mine, todo = {r.vec_id}, [r.vec_id]
         while todo:
@@ -197,6 +265,21 @@ def test_html_blocks():
     assert [t for t, k in zip(texts, kinds, strict=True) if k == 2] == ["Head & shoulders", "One two", "three", "Four — five"]
 
 
+def test_html_paragraphs_end_at_blocks():
+    texts, kinds = html_extraction.lines_of('<body><p class="notice">Note<div>Body</div><article><div class="article-header"><h1>Title</h1></div><p class="ad">Buy<p>One <b>two<h2>Three</h2><div class="site-header">Logo</div></article>')
+    assert list(zip(texts, kinds, strict=True)) == [("Note", 0), ("Body", 1), ("Title", 2), ("Buy", 0), ("One two", 2), ("Three", 2), ("Logo", 0)]
+
+
+def test_html_differencing_decides_inside_articles(spark):
+    """Unnamed boxes and lists of an article are decided by the neighbours; its wording stays, shared or not."""
+    page = lambda k: f"<article><h1>Title {k}</h1><p>Licence line</p><p>Text {k}</p><div>Read also</div><ul><li>Most read</li></ul></article>"
+    rows = [(k, f"http://h.example/a/{k:02}", page(k)) for k in range(4)]
+    run = lambda rows: {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = run(rows)
+    assert all(got[k] == f"Title {k}\nLicence line\nText {k}" for k in range(4))
+    assert run(rows[:1])[0] == "Title 0\nLicence line\nText 0\nRead also\nMost read"
+
+
 def test_shared_lines():
     assert html_extraction.shared([1, 2, 3, 9, 4], [1, 3, 7, 4]) == {0, 2, 4}
     assert html_extraction.shared([], [1]) == set()

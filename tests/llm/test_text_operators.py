@@ -73,10 +73,54 @@ def test_quality_rules_base(docs, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(re.findall(rb"[#*$%&|<>]", t)), dup, len(inside)), i
         assert r.base_failed == (len(w) < 20 or 100 * len(inside) > 30 * len(w))
         assert not (r.base_failed and r.kept)
-        assert (r.word_distance is None) == (len(w) < quality_rules.GUARD_WORDS) or math.isnan(r.word_distance)
+        assert len(w) >= quality_rules.GUARD_WORDS or r.word_distance is None
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_quality_rules_verdict_equals_brute_force(spark):
+    """Distances and verdicts against plain Python; rare, null and empty languages and words of any character have references of their own."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(2400):
+        words = [f"{'abcdefgh'[i % 4]}{rng.choice('aeiou')}{rng.choice('nrst')}" for _ in range(rng.choice((5, 60, 90)))]
+        if i % 50 == 0:
+            words = ["#$%&"] * 30 + ["QQQ", "ZZZ"] * 20
+        rows.append((i, " ".join(words), (None, "", "en", "de")[i % 4]))
+    rows += [(5000, "\x00abc \x00 words " * 30, "x1"), (5001, "other text here " * 40, "x2"), (5002, None, "x3")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    by = {}
+    for i, t, lang in rows:
+        by.setdefault(lang, []).append((i, (t or "").encode()))
+
+    def js(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        kl = lambda a: sum(v * math.log2(v / m[k]) for k, v in a.items() if v > 0)
+        return math.sqrt(max(0, (kl(p) + kl(q)) / 2))
+
+    def shares(c):
+        return {k: n / sum(c.values()) for k, n in c.items()}
+
+    for docs in by.values():
+        chars, words = Counter(), Counter()
+        for _, t in docs:
+            chars.update(dict(enumerate(quality_rules.class_counts(t).tolist())))
+            words.update(quality_rules._words(t))
+        total = sum(words.values())
+        common = {w for w, n in words.items() if n >= max(1, total * quality_rules.SHARE) and w}
+        fold = lambda c: Counter({w: n for w, n in c.items() if w in common}) + Counter({None: sum(n for w, n in c.items() if w not in common)})
+        for i, t in docs:
+            own = quality_rules.class_counts(t).tolist()
+            w = quality_rules._words(t)
+            c = js(shares(dict(enumerate(own))), shares(chars)) if sum(own) >= quality_rules.GUARD_CHARS else None
+            d = js(shares(fold(Counter(w))), shares(fold(words))) if len(t.split()) >= quality_rules.GUARD_WORDS and common else None
+            assert got[i].char_distance == (c if c is None else pytest.approx(c, abs=1e-9)), i
+            assert got[i].word_distance == (d if d is None else pytest.approx(d, abs=1e-9)), i
+            assert got[i].kept == (not got[i].base_failed and (c or 0) <= quality_rules.MAX_CHARS and (d or 0) <= quality_rules.MAX_WORDS), i
+
+
 def test_distance_is_jensen_shannon():
     assert quality_rules.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality_rules.distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
@@ -171,18 +215,62 @@ def test_lm_scores(docs, empty):
     for i, ws in tokens:
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
         assert any(r.doc_id == i and r.n_tokens == len(ws) and r.n_known == sum(w in c for w in ws) and r.train_tokens == n and r.held_out == held[i] and abs(r.base_score - base) < 1e-6 * max(1, abs(base)) for r in got), i
-    assert all(r.score <= 0 for r in got)
+    model = _interpolated(rows)
+    for i, ws in tokens:
+        want = sum(math.log10(model(ws[k - 1] if k else "start", w)) for k, w in enumerate(ws))
+        assert any(r.doc_id == i and r.n_tokens == len(ws) and abs(r.score - want) < 1e-6 * max(1, abs(want)) for r in got), i
     assert lm_scoring.score(empty).count() == 0
 
 
+def _interpolated(rows):
+    """The model in plain Python: p(word, context); None is the end, "start" stands before a text's first word."""
+    fold = {i: lm_scoring.fold_of(i) for i, _ in rows}
+
+    def counts(folds):
+        one, two, before = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if fold[i] in folds:
+                ws = [*t.translate(LOWER).split(), None]
+                one.update(ws)
+                before.update(["start", *ws[:-1]])
+                two.update(zip(["start", *ws[:-1]], ws, strict=True))
+        return one, two, before
+
+    def estimates(found, context, w):
+        one, two, before = found
+        n = before[context]
+        return min(lm_scoring.CLASSES - 1, math.ceil(math.log2(n + 1))), two[context, w] / max(1, n), one[w] / max(1, sum(one.values()))
+
+    base, cells = counts({0}), {}
+    level = lambda p: int(min(lm_scoring.BINS - 2, max(0, math.floor(-math.log2(p) * lm_scoring.FINE)))) + 1 if p > 0 else 0
+    for i, t in rows:
+        if fold[i] == 1:
+            ws = ["start", *t.translate(LOWER).split(), None]
+            for context, w in zip(ws, ws[1:], strict=False):
+                kind, p2, p1 = estimates(base, context, w)
+                cells.setdefault((kind * lm_scoring.BINS + level(p2)) * lm_scoring.BINS + level(p1), []).append((p2, p1))
+    keys = np.array(sorted(cells), np.int64)
+    means = np.array([np.mean(cells[k], axis=0) for k in keys]).reshape(-1, 2)
+    weights = lm_scoring.weights(keys, np.array([len(cells[k]) for k in keys]), means[:, 0], means[:, 1], 1 / (len(base[0]) + 1))
+    found = counts({0, 1})
+
+    def p(context, w):
+        kind, p2, p1 = estimates(found, context, w)
+        return weights[kind, 0] * p2 + weights[kind, 1] * p1 + weights[kind, 2] / (len(found[0]) + 1)
+
+    return p
+
+
 def test_lm_probabilities_sum_to_one(spark):
-    """After a seen and after an unseen context, the model's probabilities over the vocabulary and one unknown word sum to 1."""
-    train = [(i, "a b a c b a") for i in range(40)]
-    asked = [(1000 + k, f"{w} {x}") for w in ("a", "zz") for k, x in enumerate(("a", "b", "c", "unknown"))]
-    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    rows = [r for r in train if zlib.crc32(str(r[0]).encode()) % 7 != 2] + [(ids[k], t) for k, (_, t) in enumerate(asked)] + [(ids[20], "a"), (ids[21], "zz")]
-    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(x < 0 for x in got.values())
+    """After seen and unseen contexts, the probabilities over the vocabulary and one unknown word sum to 1, and Spark's scores are theirs."""
+    train = [(i, b"a b a c b a") for i in range(200)] + [(i, b"c c zz") for i in range(200, 240)]
+    p = _interpolated(train)
+    for context in (b"a", b"b", b"zz", b"unseen", "start"):
+        assert sum(p(context, w) for w in (b"a", b"b", b"c", b"zz", None, b"unknown")) == pytest.approx(1, abs=1e-9)
+    asked = next(i for i in range(1000, 2000) if lm_scoring.fold_of(i) == 2)
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame([(i, t.decode()) for i, t in [*train, (asked, b"zz b unknown a")]], "doc_id long, text string")).collect()}
+    ws = ["start", b"zz", b"b", b"unknown", b"a", None]
+    assert got[asked] == pytest.approx(sum(math.log10(p(c, w)) for c, w in zip(ws, ws[1:], strict=False)), abs=1e-9)
 
 
 def test_mixture_weights_prefer_the_better_estimate():

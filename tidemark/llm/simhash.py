@@ -40,6 +40,14 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 FINE = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have set."""
+    set_ = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 13):
+        set_ += np.unpackbits(h[k : k + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_ > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """The unsigned 64-bit SimHash of one text."""
     import xxhash
@@ -54,10 +62,7 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     h = np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, (ends[2:] - 1).tolist(), strict=False)), np.uint64, len(words) - 2)
-    set_ = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 13):
-        set_ += np.unpackbits(h[k : k + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_ > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, keep_text: bool = False, into: str = "fp") -> DataFrame:
@@ -161,11 +166,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(components_of(prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, wide: bool = False) -> DataFrame:
     """The rows of docs that stand for their group of near duplicates: those of the smallest doc_id, once each.
 
-    Rows without an id stand for a group that has no ids, once for each fingerprint.
+    wide: groups at a 5-word shingle similarity of 4/5 or more (near_shingles)
+    in place of fingerprints RADIUS bits apart. Rows without an id stand for a
+    group that has no ids: once for each fingerprint, or once for the wide group.
     """
+    if wide:
+        from tidemark.llm import near_shingles
+
+        return near_shingles.one_of_each(docs)
     names = docs.columns
     classes = components_of(cut(fingerprints(docs.select("doc_id", "text")), "prints"))
     rows = fingerprints(docs.select("doc_id", "text", F.struct(*names).alias("_row")), into="fp")
