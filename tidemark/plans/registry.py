@@ -1,7 +1,7 @@
 """All registered queries of the transcript engine and their SQL."""
 
-from tidemark.plans import analytics, transcript
+from tidemark.plans import analytics, copy, media, transcript
 
-__all__ = ["ORACLE", "QUERIES", "analytics"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "copy", "media"]
 QUERIES: dict = transcript.QUERIES
 ORACLE: dict = transcript.ORACLE
