@@ -33,3 +33,12 @@ def quality(segs: DataFrame, words: DataFrame) -> DataFrame:
     x = x.withColumns({"weakest": F.coalesce("weakest", "avg_p"), "score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))})
     needs = (F.col("avg_p") < 0.72) | (F.col("low") > 0.18) | (F.col("very") > 0.07) | (F.col("rep") > 0.035) | (F.col("weakest") < 0.5) | (F.col("weak") >= 2)
     return x.select("job_id", "score", "avg_p", "weakest", F.col("weak").alias("weak_segments"), "low", "very", "rep", F.coalesce("n_tokens", F.lit(0)).alias("word_count"), "segment_count", needs.alias("needs_refinement"))
+
+
+def better(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(job_id, use_second): a second transcript is taken where its rounded measures are clearly better somewhere."""
+    a, b = (q.select("job_id", F.round("score", 2).alias(f"s{k}"), F.round("low", 4).alias(f"l{k}"), F.round("weakest", 4).alias(f"w{k}"), F.col("segment_count").alias(f"n{k}")) for k, q in ((1, first), (2, second)))
+    x = a.join(b, "job_id", "full_outer")
+    none = F.coalesce("n1", F.lit(0)) == 0
+    gain = (F.col("s2") >= F.col("s1") + 1.5) | (F.col("l2") <= F.col("l1") - 0.04) | (F.col("w2") >= F.col("w1") + 0.10) & (F.col("s2") >= F.col("s1") - 5)
+    return x.select("job_id", F.coalesce((F.coalesce("n2", F.lit(0)) > 0) & (none | gain), F.lit(False)).alias("use_second"))

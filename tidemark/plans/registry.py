@@ -1,7 +1,7 @@
 """All registered queries of the transcript engine and their SQL."""
 
-from tidemark.plans import analytics, copy, media, transcript
+from tidemark.plans import analytics, copy, edits, media, transcript
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "copy", "media"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "copy", "edits", "media"]
 QUERIES: dict = transcript.QUERIES
 ORACLE: dict = transcript.ORACLE
