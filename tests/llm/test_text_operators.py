@@ -137,7 +137,9 @@ def test_suffix_dedup_equals_brute_force(docs, empty):
                 gone[k : k + 400] = True
         runs = int((np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum())
         want[i, len(t), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()] += 1
-    assert Counter(tuple(r) for r in suffix_dedup.digest(docs).collect()) == want
+    got = suffix_dedup.digest(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    assert all(r.has_repeats == (r.n_removed > 0) for r in got)
     assert any(k[2] for k in want)
     assert suffix_dedup.digest(empty).count() == 0
     assert suffix_dedup.strip(docs).count() == len(rows)

@@ -44,6 +44,7 @@ WIDTHS = (192, 16, 1)
 #: Bytes of text that a task hashes at once (a longer text is hashed alone).
 CHUNK = 500_000
 
+_PLACE = np.uint64((1 << 40) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8").astype(np.uint64)
 
@@ -77,7 +78,8 @@ class Hashes:
 def anchors(h: Hashes, n: int) -> np.ndarray:
     """For each start of a window in n bytes, the place of the rightmost smallest gram of the window."""
     grams = np.arange(n - GRAM + 1)
-    key = h.of(grams, grams + GRAM) & np.uint64(0xFFFFFFFFF0000000) | (np.uint64(0xFFFFFFF) - grams.astype(np.uint64))
+    # 24 bits of hash above 40 bits of place: one comparison finds the smallest hash and, of equal ones, the rightmost
+    key = h.of(grams, grams + GRAM) & ~_PLACE | (_PLACE - grams.astype(np.uint64))
     blocks = -(-len(key) // SPAN)
     full = np.full(blocks * SPAN, np.uint64(2**64 - 1))
     full[: len(key)] = key
@@ -86,7 +88,7 @@ def anchors(h: Hashes, n: int) -> np.ndarray:
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - WINDOW + 1
     least = np.minimum(behind[:starts], ahead[SPAN - 1 : SPAN - 1 + starts])
-    return (np.uint64(0xFFFFFFF) - (least & np.uint64(0xFFFFFFF))).astype(np.int64)
+    return (_PLACE - (least & _PLACE)).astype(np.int64)
 
 
 def node_keys(h: Hashes, first: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,17 +278,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h.update(text[at:x])
                 at = y
             h.update(text[at:])
-            rows.append((len(text), sum(y - x for x, y in runs), len(runs), h.hexdigest()))
-        n, gone, k, sha = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((len(text), sum(y - x for x, y in runs), len(runs), h.hexdigest(), bool(runs)))
+        n, gone, k, sha, hit = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(hit, pa.bool_())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs(doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats) for each row of docs(doc_id, text); has_repeats: whether bytes are removed."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
     spans = repeats(keyed.select("tid", "text"))
     packed = keyed.mapInArrow(_pack_text, "doc_id long, tid long, packed binary")
-    return packed.join(spans, "tid", "left").select("doc_id", "packed", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return packed.join(spans, "tid", "left").select("doc_id", "packed", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean")
 
 
 def strip(docs: DataFrame) -> DataFrame:
