@@ -73,10 +73,17 @@ def unfinished(c: Column) -> Column:
     return (w == "") | w.isin(*lx.TRAILING_DEPENDENCIES) | F.lower(x).rlike(r"\b(and then|the reason (is|was)|what happened (is|was))[^\p{L}\p{N}_]*$")
 
 
+def _end_of_last(x: Column, pattern: str) -> Column:
+    """Where the last match of pattern ends: what the last piece between matches leaves; -1: no match."""
+    pieces = F.split(x, pattern)
+    return F.when(F.size(pieces) > 1, F.length(x) - F.length(F.element_at(pieces, -1))).otherwise(F.lit(-1))
+
+
 def closure_end(c: Column) -> Column:
-    """End of the last closure cue; -1: none."""
+    """End of the last closure cue or pattern; -1: none."""
     x = F.lower(clean(c))
-    return F.greatest(*[F.when(last_at(x, p) >= 0, last_at(x, p) + len(p)).otherwise(F.lit(-1)) for p in lx.CLOSURE_CUES])
+    cues = [F.when(last_at(x, p) >= 0, last_at(x, p) + len(p)).otherwise(F.lit(-1)) for p in lx.CLOSURE_CUES]
+    return F.greatest(*cues, *[_end_of_last(x, p) for p in lx.CLOSURE_PATTERNS])
 
 
 def short_reaction(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Caption phrases from timed words; segments without words get none."""
+"""Caption phrases from timed words, cues for segments without words, joined words and balanced lines."""
 
 from __future__ import annotations
 
@@ -48,3 +48,44 @@ def wrapped(c, most_words: int, most_chars: int):
         F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat_ws(" ", F.element_at(a, -1), w))),
     ).otherwise(F.concat(a, F.array(w)))
     return F.aggregate(F.filter(F.split(c, r"\s+"), lambda w: w != ""), F.expr("cast(array() as array<string>)"), lambda a, w: F.when(F.size(a) == 0, F.array(w)).otherwise(fold(a, w)))
+
+
+def fallback_cues(held: DataFrame, most_words: int, most_chars: int, offset: float = 0.0) -> DataFrame:
+    """held(lo, hi, start, end, text) in seconds, one row a clip and segment, with cue_ix, cue_start, cue_end and cue.
+
+    A segment's text is cut into lines; each takes an equal share of what the
+    clip shows of the segment. Cues of 0.03 s or less are left out.
+    """
+    length = F.greatest(F.col("hi") - F.col("lo"), F.lit(0.05))
+    a = F.greatest(F.lit(0.0), F.greatest("start", "lo") - F.col("lo") + offset)
+    b = F.least(length, F.least("end", "hi") - F.col("lo") + offset)
+    x = held.where(F.least("end", "hi") > F.greatest("start", "lo")).withColumns({"_a": a, "_b": b, "_len": length, "_c": wrapped(F.col("text"), most_words, most_chars)}).where("_b > _a and size(_c) > 0")
+    x = x.withColumn("_step", F.greatest(F.col("_b") - F.col("_a"), F.lit(0.2)) / F.size("_c")).select("*", F.posexplode("_c").alias("cue_ix", "cue"))
+    x = x.withColumns({"cue_start": F.col("_a") + F.col("cue_ix") * F.col("_step"), "cue_end": F.least(F.col("_a") + (F.col("cue_ix") + 1) * F.col("_step"), "_len")})
+    return x.where(F.col("cue_end") > F.col("cue_start") + 0.03).drop("_a", "_b", "_len", "_c", "_step")
+
+
+def joined(words):
+    """Words as a text, with no blank before closing marks or after an opening one."""
+    x = F.array_join(F.filter(F.transform(words, lambda w: F.trim(F.regexp_replace(w, r"\s+", " "))), lambda w: w != ""), " ")
+    return F.regexp_replace(F.regexp_replace(x, r" (?=[,.;:!?%)}\]])", ""), r"(?<=['’\-—(]) ", "")
+
+
+def balanced(c, style: str):
+    """A dense text of calm style in two lines of like length, cut at a good place."""
+    cap = max(20, min(32, int(lx.CAPTION_STYLES[style][1] * 0.68))) + 5
+    x = F.trim(F.regexp_replace(c, r"\s+", " "))
+    plain = lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z0-9']+", ""))
+    line = lambda ws, at, n: F.array_join(F.slice(ws, at, n), " ")
+
+    def cut(ws):
+        def cost(k):
+            left, right = line(ws, F.lit(1), k), line(ws, k + 1, F.size(ws) - k)
+            last, first = F.element_at(ws, k), F.element_at(ws, k + 1)
+            score = F.abs(F.length(left) - F.length(right)) + F.when(plain(last).isin(*lx.WEAK_EDGES), 24).otherwise(0) + F.when(plain(first).isin(*lx.WEAK_SECOND_LINES), 18).otherwise(0) - F.when(last.rlike("[,;:]$"), 8).otherwise(0) - F.when(plain(first).isin(*lx.GOOD_SECOND_LINES), 4).otherwise(0)
+            return F.when((F.length(left) <= cap) & (F.length(right) <= cap), F.struct(score.alias("score"), k.alias("k"), F.concat(left, F.lit("\n"), right).alias("text")))
+
+        return F.array_min(F.array_compact(F.transform(F.sequence(F.lit(3), F.size(ws) - 3), cost)))["text"]
+
+    ws = F.split(x, " ")
+    return F.when((F.size(ws) < 7) | (F.length(x) < 30), x).otherwise(F.coalesce(F.transform(F.array(ws), cut)[0], x))

@@ -48,7 +48,7 @@ def windows(segs: DataFrame, scenes: DataFrame, kind: str = "other", preference:
 def open_loop(c: Column) -> Column:
     x = F.regexp_replace(F.lower(T.clean(c)), "[ .!?…\"”’]+$", "")
     third = F.substring(x, (F.length(x) * 0.66).cast("int") + 1, F.length(x))
-    return F.right(x, F.lit(180)).rlike(lx.OPEN_LOOP_PATTERN) | T.any_in(third, lx.LATE_PIVOTS) & (T.closure_end(third) < 0)
+    return F.right(x, F.lit(180)).rlike("|".join(lx.OPEN_LOOP_PATTERNS)) | T.any_in(third, lx.LATE_PIVOTS) & (T.closure_end(third) < 0)
 
 
 def assessed(wins: DataFrame) -> DataFrame:

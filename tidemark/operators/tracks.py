@@ -92,3 +92,11 @@ def sample_plan(clips: DataFrame, most: int = 120, least_cs: int = 45) -> DataFr
     """clips(lo, hi) with one row for each sample time t_cs: evenly spread, at most `most`, least_cs apart or more."""
     step = F.greatest(F.lit(least_cs), F.ceil((F.col("hi") - F.col("lo")) / most)).cast("long")
     return clips.withColumn("t_cs", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, step)))
+
+
+def face_bands(faces: DataFrame, sample: list[str], least: float = 0.35) -> DataFrame:
+    """(sample, important, center_y, band) for faces(sample, y, area): the mean height by area of all faces not much smaller than the largest."""
+    top = faces.groupBy(*sample).agg(F.max("area").alias("_top"))
+    x = faces.join(top, sample).where(F.col("area") >= F.col("_top") * least)
+    x = x.groupBy(*sample).agg(F.count("*").alias("important"), (F.sum(F.col("y") * F.col("area")) / F.greatest(F.lit(1), F.sum("area"))).alias("center_y"))
+    return x.withColumn("band", F.when(F.col("center_y") < 0.38, "upper").when(F.col("center_y") < 0.68, "middle").otherwise("lower"))

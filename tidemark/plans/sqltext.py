@@ -58,6 +58,12 @@ def last_at(x: str, p: str) -> str:
     return f"(CASE WHEN contains({x}, {q(p)}) THEN length({x}) - instr(reverse({x}), {q(p[::-1])}) - {len(p)} + 1 ELSE -1 END)"
 
 
+def pattern_end(x: str, p: str) -> str:
+    """Where the last match of p ends in x; -1: no match."""
+    pieces = f"regexp_split_to_array({x}, {q(p)})"
+    return f"(CASE WHEN len({pieces}) > 1 THEN length({x}) - length({pieces}[-1]) ELSE -1 END)"
+
+
 def times_in(x: str, p: str) -> str:
     return f"((length({x}) - length(replace({x}, {q(p)}, ''))) // {len(p)})"
 

@@ -191,7 +191,7 @@ _FLAGS = {"starts_clean": S.starts_clean("text"), "ends_clean": S.ends_clean("te
 
 @query(S.GAPS + f""", f AS (SELECT *, {S.starts_clean('text')} AS starts_clean, {S.ends_clean('text')} AS ends_clean, regexp_replace({S.clean('text')}, '["”’ ]+$', '') AS u FROM gaps)
 SELECT job_id, seg_ix, starts_clean, ends_clean, ({S.last_word('u', 90)} = '' OR {S.last_word('u', 90)} IN ({', '.join(map(S.q, lx.TRAILING_DEPENDENCIES))}) OR regexp_matches(lower(u), '\\b(and then|the reason (is|was)|what happened (is|was))[^\\p{{L}}\\p{{N}}_]*$')) AS unfinished,
- greatest({', '.join(f"CASE WHEN contains(lower({S.clean('text')}), {S.q(p)}) THEN {S.last_at(f'lower({S.clean("text")})', p)} + {len(p)} ELSE -1 END" for p in lx.CLOSURE_CUES)}) AS closure_end,
+ greatest({', '.join(f"CASE WHEN contains(lower({S.clean('text')}), {S.q(p)}) THEN {S.last_at(f'lower({S.clean("text")})', p)} + {len(p)} ELSE -1 END" for p in lx.CLOSURE_CUES)}, {', '.join(S.pattern_end(f'lower({S.clean("text")})', p) for p in lx.CLOSURE_PATTERNS)}) AS closure_end,
  len({S.words(S.opening('text'))}) BETWEEN 1 AND 14 AND ({S.starts_any(S.opening('text'), lx.REACTION_STARTS)} OR {S.opening('text')} IN ('yes','no','yeah','wow','whoa')) AS short_reaction,
  CASE {' '.join(f"WHEN {S.any_in('lower(text)', c)} THEN '{k}'" for k, c in lx.MOMENT_CUES.items())} ELSE 'unknown' END AS moment FROM f""")
 def flt7_text_flags(spark, d):
@@ -221,12 +221,31 @@ def set4_set5_neighbours(spark, d):
     return x.select("job_id", "seg_ix", F.size(F.array_intersect("a", "b")).alias("both_n"), F.size(F.array_union("a", "b")).alias("either_n"), F.least(F.size("a"), F.size("b")).alias("least_n"))
 
 
-@query(S.BRIDGE + "SELECT job_id, start_cs, end_cs, word FROM (SELECT *, row_number() OVER (PARTITION BY job_id, start_cs // 40, lower(word) ORDER BY start_cs, end_cs, seg_ix) AS k FROM (SELECT * FROM words UNION ALL SELECT job_id, seg_ix + 1, word_ix, start_cs, end_cs, word, pct FROM words WHERE pct < 20)) WHERE k = 1")
+@query(S.BRIDGE + "SELECT job_id, start_cs, end_cs, seg_ix, word FROM (SELECT *, row_number() OVER (PARTITION BY job_id, start_cs, end_cs, lower(word) ORDER BY seg_ix, word) AS k FROM (SELECT * FROM words UNION ALL SELECT job_id, seg_ix + 1, word_ix, start_cs + CASE WHEN pct < 10 THEN 1 ELSE 0 END, end_cs, translate(word, 'aeio', 'AEIO'), pct FROM words WHERE pct < 20)) WHERE k = 1")
 def set1_word_dedup(spark, d):
+    """Words told twice: one of each start, end (in hundredths) and word in any case, the first by segment (SET-1, SET-6)."""
     w = bridge.words(bridge.segments(spark, d))
-    again = w.where("pct < 20").withColumn("seg_ix", F.col("seg_ix") + 1)
-    k = F.row_number().over(Window.partitionBy("job_id", (F.col("start_cs") / 40).cast("long"), F.lower("word")).orderBy("start_cs", "end_cs", "seg_ix"))
-    return w.union(again).withColumn("k", k).where("k = 1").select("job_id", "start_cs", "end_cs", "word")
+    again = w.where("pct < 20").withColumns({"seg_ix": F.col("seg_ix") + 1, "start_cs": F.col("start_cs") + F.when(F.col("pct") < 10, 1).otherwise(0), "word": F.translate("word", "aeio", "AEIO")})
+    k = F.row_number().over(Window.partitionBy("job_id", "start_cs", "end_cs", F.lower("word")).orderBy("seg_ix", "word"))
+    return w.union(again).withColumn("k", k).where("k = 1").select("job_id", "start_cs", "end_cs", "seg_ix", "word")
+
+
+_ENDINGS = ("", " and this was the answer we kept", " but the reason is", ". That is proof. What happened next", " until", "; however we left", " That is the result of it, and then")
+_ENDED = S.BRIDGE + f", c AS (SELECT job_id, seg_ix, lower({S.clean(f"concat(text, ({S.listed(_ENDINGS)})[(job_id + seg_ix) % {len(_ENDINGS)} + 1])")}) AS x FROM segments), r AS (SELECT *, rtrim(x, concat(' .!?…', chr(34), '”’')) AS y FROM c)"
+
+
+def _closure_sql(x: str) -> str:
+    return "greatest(" + ", ".join([*(f"CASE WHEN contains({x}, {S.q(p)}) THEN {S.last_at(x, p)} + {len(p)} ELSE -1 END" for p in lx.CLOSURE_CUES), *(S.pattern_end(x, p) for p in lx.CLOSURE_PATTERNS)]) + ")"
+
+
+@query(_ENDED + f", z AS (SELECT *, substr(y, CAST(floor(length(y) * 0.66::DOUBLE) AS INTEGER) + 1) AS third FROM r) SELECT job_id, seg_ix, {_closure_sql('x')} AS closure_end, {' OR '.join(f'regexp_matches(right(y, 180), {S.q(p)})' for p in lx.OPEN_LOOP_PATTERNS)} OR {S.any_in('third', lx.LATE_PIVOTS)} AND {_closure_sql('third')} < 0 AS open_loop FROM z")
+def flt11_flt12_closure(spark, d):
+    """Where a thought is closed, and whether a loop is open near its end; endings are put in by place (FLT-11, FLT-12)."""
+    from tidemark.operators import scene_ranking
+
+    end = F.element_at(F.array(*map(F.lit, _ENDINGS)), ((F.col("job_id") + F.col("seg_ix")) % len(_ENDINGS) + 1).cast("int"))
+    x = bridge.segments(spark, d).withColumn("text", F.concat("text", end))
+    return x.select("job_id", "seg_ix", T.closure_end(F.col("text")).alias("closure_end"), scene_ranking.open_loop(F.col("text")).alias("open_loop"))
 
 
 @query(S.BRIDGE + r""", t AS (SELECT job_id, seg_ix, word_ix, lower(regexp_replace(word, '[^\p{L}\p{N}_'']+', '', 'g')) AS tok FROM words), n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seg_ix, word_ix) AS k FROM t WHERE tok <> ''),
