@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, seg_ix, start_cs, end_cs, n_words, plain, text)."""
-    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    # All that follows is done by job. The rows are few bytes beside the work that windows and scores make of them, so
+    # their number of partitions is fixed here: the adaptive planner would join them by size and leave cores idle.
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     parts = talk.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", r"\s+", " "), F.lit("[^.!?]+[.!?]*"), F.lit(0))).alias("pos", "s"))
     sent = parts.select("conv_id", "turn", "pos", F.trim("s").alias("plain")).where("plain <> ''").withColumn("n_words", F.size(F.split("plain", " ")))
     timed = sent.withColumn("gap_cs", (F.col("turn") * 7 + F.col("pos") * 3) % 11 * 40)
