@@ -21,7 +21,8 @@ def _rate(c: Column) -> Column:
 def probed(docs: DataFrame, json: str = "probe") -> DataFrame:
     """docs with the media facts of each probe document: first video stream, all audio streams with tracks from 1."""
     x = docs.withColumn("_p", F.from_json(json, PROBE))
-    kind = lambda k: F.coalesce(F.filter("_p.streams", lambda s: s["codec_type"] == k), F.slice("_p.streams", 1, 0))
+    streams = PROBE.split("streams ", 1)[1]
+    kind = lambda k: F.filter(F.coalesce("_p.streams", F.expr(f"cast(array() as {streams.replace(' ', ': ').replace(',: ', ', ')})")), lambda s: s["codec_type"] == k)
     x = x.withColumn("_v", F.get(kind("video"), F.lit(0))).withColumn("_a", kind("audio"))
     tracks = F.transform("_a", lambda s, i: F.struct((i + 1).alias("track"), F.coalesce(s["index"], F.lit(0)).alias("stream_index"), s["codec_name"].alias("codec"), s["tags"]["language"].alias("language"), s["tags"]["title"].alias("title"), F.coalesce(s["channels"], F.lit(0)).alias("channels"), (F.coalesce(s["disposition"]["default"], F.lit(0)) != 0).alias("default")))
     x = x.withColumn("audio_tracks", tracks)
