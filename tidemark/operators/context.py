@@ -70,3 +70,18 @@ def envelope(clips: DataFrame) -> DataFrame:
         "context_start": F.greatest(F.lit(0), F.col("start_cs") - F.when(comp, 1800).otherwise(3000), F.coalesce("scene_start", F.lit(0))),
         "context_end": F.least(F.col("end_cs") + F.when(comp, 2400).otherwise(3600), F.coalesce("scene_end", F.col("end_cs") + 3600)),
     })
+
+
+def resolved(requests: DataFrame, kinds: DataFrame, structures: DataFrame) -> DataFrame:
+    """(job_id, kind, structure, confidence_bp, chosen): what the user asked for, else what was found.
+
+    requests(job_id, asked_kind, asked_structure); a choice of the user's is sure,
+    and the whole is as sure as its less sure part. chosen tells what the user chose.
+    """
+    known = lambda c, valid: F.when(F.lower(F.trim(F.coalesce(c, F.lit("auto")))).isin(*valid), F.lower(F.trim(c))).otherwise("auto")
+    x = requests.select("job_id", known(F.col("asked_kind"), lx.CONTENT_TYPES).alias("_k"), known(F.col("asked_structure"), ("auto", "single-story", "compilation")).alias("_s"))
+    x = x.join(kinds.select("job_id", "kind", F.col("confidence_bp").alias("_kc")), "job_id").join(structures.select("job_id", "structure", F.col("confidence_bp").alias("_sc")), "job_id")
+    mine = lambda c: F.col(c) != "auto"
+    sure = F.least(F.when(mine("_k"), 10000).otherwise(F.col("_kc")), F.when(mine("_s"), 10000).otherwise(F.col("_sc")))
+    told = F.concat_ws(", ", F.when(mine("_k"), "user-selected content type"), F.when(mine("_s"), "user-selected content structure"))
+    return x.select("job_id", F.when(mine("_k"), F.col("_k")).otherwise(F.col("kind")).alias("kind"), F.when(mine("_s"), F.col("_s")).otherwise(F.col("structure")).alias("structure"), sure.cast("int").alias("confidence_bp"), told.alias("chosen"))

@@ -9,7 +9,7 @@ from tidemark.functions import lexicon as lx
 from tidemark.functions import text as T
 from tidemark.operators import captions, catalog, context, quality, scenes, tracks
 from tidemark.plans import sqltext as S
-from tidemark.plans.transcript import clips, query, shots
+from tidemark.plans.transcript import ORACLE, clips, query, shots
 from tidemark.sources import bridge
 from tidemark.streaming import sessions as streams
 
@@ -45,6 +45,18 @@ def agg5_structure(spark, d):
     return context.structure(bridge.segments(spark, d))
 
 
+_ASKED_KINDS = ("auto", " Podcast", "bogus", "anime")
+_ASKED_STRUCTURES = ("auto", "compilation", "other")
+
+
+@query("WITH k AS (" + ORACLE["agg4_content_type"] + "), s AS (" + ORACLE["agg5_structure"] + f"), q AS (SELECT k.job_id, k.kind, k.confidence_bp AS kc, s.structure, s.confidence_bp AS sc, {S.listed(_ASKED_KINDS)}[k.job_id % 4 + 1] AS a, {S.listed(_ASKED_STRUCTURES)}[k.job_id % 3 + 1] AS b FROM k JOIN s ON s.job_id = k.job_id) SELECT job_id, CASE a WHEN ' Podcast' THEN 'podcast' WHEN 'anime' THEN 'anime' ELSE kind END AS kind, CASE b WHEN 'compilation' THEN 'compilation' ELSE structure END AS structure, CAST(least(CASE WHEN a IN (' Podcast', 'anime') THEN 10000 ELSE kc END, CASE WHEN b = 'compilation' THEN 10000 ELSE sc END) AS INTEGER) AS confidence_bp, concat_ws(', ', CASE WHEN a IN (' Podcast', 'anime') THEN 'user-selected content type' END, CASE WHEN b = 'compilation' THEN 'user-selected content structure' END) AS chosen FROM q")
+def agg6_context(spark, d):
+    """The context of each job: the user's choice where there is one, else what was found (AGG-6)."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("job_id") % len(values) + 1).cast("int"))
+    asked = bridge.segments(spark, d).select("job_id").distinct().select("job_id", pick(_ASKED_KINDS).alias("asked_kind"), pick(_ASKED_STRUCTURES).alias("asked_structure"))
+    return context.resolved(asked, agg4_content_type(spark, d), agg5_structure(spark, d))
+
+
 @query(S.BRIDGE + r""", t AS (SELECT w.job_id, w.seg_ix, word_ix, pct, lower(regexp_replace(word, '[^\p{L}\p{N}_'']+', '', 'g')) AS tok FROM words w), g AS (SELECT job_id, seg_ix, count(*) AS n, sum(pct) AS s, count(*) FILTER (pct < 38) AS n38, count(*) FILTER (pct < 48) AS n48, count(*) FILTER (pct < 25) AS n25, count(*) FILTER (tok <> '') AS toks FROM t GROUP BY ALL),
 j AS (SELECT job_id, count(*) AS segment_count, sum(n) AS n, sum(s) AS s, sum(n48) AS n48, sum(n25) AS n25, count(*) FILTER (toks >= 3 AND (s / n / 100 < 0.56 OR n38 / n > 0.28)) AS weak, min(CASE WHEN toks >= 3 THEN s / n / 100 END) AS weakest FROM g GROUP BY job_id) SELECT job_id, CAST(weak AS BIGINT) AS weak_segments, segment_count, CAST(round(10000 * n48 / n) AS BIGINT) AS low_bp, CAST(round(10000 * n25 / n) AS BIGINT) AS very_bp, CAST(round(100 * s / n) AS BIGINT) AS avg_bp, CAST(round(10000 * coalesce(weakest, s / n / 100)) AS BIGINT) AS weakest_bp FROM j""")
 def agg1_quality(spark, d):
