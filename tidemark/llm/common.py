@@ -38,6 +38,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+#: A joined table of up to this many rows is broadcast; beyond it, each of its keys goes to SALTS places.
+BROADCAST_ROWS, SALTS = 200_000, 16
+
+
+def checked_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: str | None = None, most: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """rows joined with small, a written table with one row a key. A small of at most `most` rows is broadcast; beyond
+    that the rows of a key are spread over salts by the column `spread` (or all columns), so that no hot key meets one task."""
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), keys)
+    salt = F.pmod(F.xxhash64(*([spread] if spread else rows.columns)), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"]).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compaction, embedding_dedup, html_extraction, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from tidemark.llm import compaction, embedding_dedup, filter_audit, html_extraction, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filters, vector_codes
 from tidemark.llm.common import scratch, table
 
 
@@ -65,9 +65,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The first ten have none: they are tested against brute force."""
+    return {"op11_filter_audit": filter_audit.SQL, "op12_url_filters": url_filters.SQL, "op13_vector_codes": vector_codes.SQL}
