@@ -29,8 +29,8 @@ def audited(rows, marks):
     for i, t, _ in rows:
         if i is not None:
             first[t or ""] = min(i, first.get(t or "", i))
-    good = {i for i, q, _ in marks if q == 1}
-    toxic = {i for i, _, x in marks if x == 1}
+    good = {i for i, q, _ in marks if q == 1 and i is not None}
+    toxic = {i for i, _, x in marks if x == 1 and i is not None}
     by = defaultdict(list)
     for i, t, part in rows:
         t = t or ""
