@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import lexicon as lx
 
 
-def phrases(words: DataFrame, group: list[str], style: str = "viral") -> DataFrame:
-    """words(group, rel_start, rel_end, word, seg_ix, word_ix) with phrase, counted from 0 in each group.
-
-    A new phrase begins after a long pause, after a sentence, after a clause with a short pause, and where the phrase
-    would grow too large or too long. A fold over each group; a group is one clip's words, of bounded number.
-    """
-    n_max, c_max, d_max, pause = lx.CAPTION_STYLES[style]
+def _folded(words: DataFrame, group: list[str], n_max, c_max, d_max, pause) -> DataFrame:
+    """(group, w, k): a clip's words in order and the phrase of each; limits in words, characters, hundredths of a second."""
     rows = F.array_sort(F.collect_list(F.struct("rel_start", "rel_end", "seg_ix", "word_ix", "word")))
     start = F.expr("struct(-1 as phrase, 0 as n, 0 as chars, 0L as first, 0L as last, '' as prev, cast(array() as array<int>) as out)")
 
@@ -24,12 +19,12 @@ def phrases(words: DataFrame, group: list[str], style: str = "viral") -> DataFra
         gap = x["rel_start"] - a["last"]
         new = (
             (a["n"] == 0)
-            | (gap > round(pause * 100))
+            | (gap > pause)
             | a["prev"].rlike(r"[.!?][\"')\]]?$")
             | a["prev"].rlike(r"[,;:][\"')\]]?$") & (gap > 20) & (a["n"] >= 3)
             | (a["n"] + 1 > n_max)
             | (chars > c_max)
-            | (x["rel_end"] - a["first"] > round(d_max * 100))
+            | (x["rel_end"] - a["first"] > d_max)
         )
         k = a["phrase"] + F.when(new, 1).otherwise(0)
         return F.struct(
@@ -37,10 +32,53 @@ def phrases(words: DataFrame, group: list[str], style: str = "viral") -> DataFra
             F.when(new, x["rel_start"]).otherwise(a["first"]).alias("first"), x["rel_end"].alias("last"), x["word"].alias("prev"), F.concat(a["out"], F.array(k)).alias("out"),
         )
 
-    folded = words.groupBy(*group).agg(rows.alias("w")).withColumn("k", F.aggregate("w", start, step)["out"])
+    return words.groupBy(*group).agg(rows.alias("w")).withColumn("k", F.aggregate("w", start, step)["out"])
+
+
+def phrases(words: DataFrame, group: list[str], style: str = "viral") -> DataFrame:
+    """words(group, rel_start, rel_end, word, seg_ix, word_ix) with phrase, counted from 0 in each group.
+
+    A new phrase begins after a long pause, after a sentence, after a clause with a short pause, and where the phrase
+    would grow too large or too long. A fold over each group; a group is one clip's words, of bounded number.
+    """
+    n_max, c_max, d_max, pause = lx.CAPTION_STYLES[style]
+    folded = _folded(words, group, n_max, c_max, round(d_max * 100), round(pause * 100))
     return folded.select(*group, F.explode(F.arrays_zip("w", "k")).alias("z")).select(*group, "z.w.*", F.col("z.k").alias("phrase"))
 
 
+def phrase_lists(words: DataFrame, group: list[str]) -> DataFrame:
+    """(group, phrases) with each clip's phrases as arrays of words, by the limits max_words, max_chars, max_cs and pause_cs in group."""
+    x = _folded(words, group, F.col("max_words"), F.col("max_chars"), F.col("max_cs"), F.col("pause_cs"))
+    of = lambda p: F.transform(F.filter(F.arrays_zip("w", "k"), lambda z: z["k"] == p), lambda z: z["w"])
+    return x.select(*group, F.transform(F.sequence(F.lit(0), F.array_max("k")), of).alias("phrases"))
+
+
+def rebalanced(phrases, max_words, max_chars):
+    """A clip's phrases without dangling connectives and tiny last ones.
+
+    From the first phrase on, a weak last word moves to the next phrase where it fits; what moves counts for the next
+    step. A last phrase of one or two words joins the one before it, with a little more room than a phrase has else.
+    """
+    none, text = F.slice(phrases, F.lit(1), F.lit(0)), lambda ws: joined(F.transform(ws, lambda w: w["word"]))
+    weak = lambda w: F.lower(F.regexp_replace(w["word"], "[^A-Za-z']", "")).isin(*lx.WEAK_EDGES)
+
+    def step(a, nxt):
+        last = F.element_at(a["now"], -1)
+        longer = F.concat(F.array(last), nxt)
+        moves = (F.size(a["now"]) >= 2) & weak(last) & (F.size(longer) <= max_words) & (F.length(text(longer)) <= max_chars)
+        stays = F.when(moves, F.slice(a["now"], F.lit(1), F.size(a["now"]) - 1)).otherwise(a["now"])
+        return F.struct(F.concat(a["done"], F.array(stays)).alias("done"), F.when(moves, longer).otherwise(nxt).alias("now"))
+
+    a = F.aggregate(F.slice(phrases, F.lit(2), F.greatest(F.lit(0), F.size(phrases) - 1)), F.struct(none.alias("done"), F.element_at(phrases, 1).alias("now")), step)
+
+    def ended(a):
+        both = F.concat(F.get(a["done"], F.size(a["done"]) - 1), a["now"])
+        fits = (F.size(a["done"]) >= 1) & (F.size(a["now"]) <= 2) & (F.size(both) <= max_words + 2) & (F.length(text(both)) <= max_chars + 8)
+        return F.when((F.size(a["done"]) >= 1) & F.coalesce(fits, F.lit(False)), F.concat(F.slice(a["done"], F.lit(1), F.greatest(F.lit(0), F.size(a["done"]) - 1)), F.array(both))).otherwise(F.concat(a["done"], F.array(a["now"])))
+
+    return F.filter(F.transform(F.array(a), ended)[0], lambda p: F.size(p) > 0)
+
+
 def wrapped(c, most_words: int, most_chars: int):
     """Greedy lines of at most most_words words and most_chars characters."""
     fold = lambda a, w: F.when(
@@ -71,9 +109,9 @@ def joined(words):
     return F.regexp_replace(F.regexp_replace(x, r" (?=[,.;:!?%)}\]])", ""), r"(?<=['’\-—(]) ", "")
 
 
-def balanced(c, style: str):
-    """A dense text of calm style in two lines of like length, cut at a good place."""
-    cap = max(20, min(32, int(lx.CAPTION_STYLES[style][1] * 0.68))) + 5
+def balanced(c, style: str | None = None, max_chars=None):
+    """A dense text of calm style in two lines of like length, cut at a good place; style or max_chars tells its density."""
+    cap = F.greatest(F.lit(20), F.least(F.lit(32), F.floor((F.lit(lx.CAPTION_STYLES[style][1]) if max_chars is None else max_chars) * 0.68))) + 5
     x = F.trim(F.regexp_replace(c, r"\s+", " "))
     plain = lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z0-9']+", ""))
     line = lambda ws, at, n: F.array_join(F.slice(ws, at, n), " ")

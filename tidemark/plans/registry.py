@@ -1,7 +1,7 @@
 """All registered queries of the transcript engine and their SQL."""
 
-from tidemark.plans import analytics, copy, documents, edits, media, transcript
+from tidemark.plans import analytics, copy, documents, edits, media, speakers, styled, transcript
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "copy", "documents", "edits", "media"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "copy", "documents", "edits", "media", "speakers", "styled"]
 QUERIES: dict = transcript.QUERIES
 ORACLE: dict = transcript.ORACLE
