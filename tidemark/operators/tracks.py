@@ -100,3 +100,26 @@ def face_bands(faces: DataFrame, sample: list[str], least: float = 0.35) -> Data
     x = faces.join(top, sample).where(F.col("area") >= F.col("_top") * least)
     x = x.groupBy(*sample).agg(F.count("*").alias("important"), (F.sum(F.col("y") * F.col("area")) / F.greatest(F.lit(1), F.sum("area"))).alias("center_y"))
     return x.withColumn("band", F.when(F.col("center_y") < 0.38, "upper").when(F.col("center_y") < 0.68, "middle").otherwise("lower"))
+
+
+def piecewise(track: DataFrame, key: str) -> DataFrame:
+    """(key, expression): the crop's left edge as nested conditions over time, from points(key, t, c), with a line between neighbours.
+
+    A fold from the last point to the first. Points less than half a millisecond before the next are left out; a track
+    of one point is a constant. Tracks are simplified before, so the nesting is bounded.
+    """
+    from pyspark.sql import Window
+
+    near = F.lead("t").over(Window.partitionBy(key).orderBy("t", "c")) - F.col("t") < 0.0005
+    kept = track.where("t is not null and c is not null").withColumn("_near", F.coalesce(near, F.lit(False))).where("not _near")
+    p = F.array_sort(F.collect_list(F.struct("t", "c")))
+    edge = lambda c: F.format_string("clip(%.6f*iw-ow/2,0,iw-ow)", c)
+
+    def step(a, x):
+        span = F.greatest(F.lit(0.001), a["t"] - x["t"])
+        line = F.format_string("if(lt(t,%.3f),clip((%.6f+(%.6f)*(t-%.3f)/%.3f)*iw-ow/2,0,iw-ow),", a["t"], x["c"], a["c"] - x["c"], x["t"], span)
+        return F.struct(x["t"].alias("t"), x["c"].alias("c"), F.concat(line, a["e"], F.lit(")")).alias("e"))
+
+    last = F.element_at("p", -1)
+    start = F.struct(last["t"].alias("t"), last["c"].alias("c"), edge(last["c"]).alias("e"))
+    return kept.groupBy(key).agg(p.alias("p")).select(key, F.aggregate(F.reverse(F.slice("p", F.lit(1), F.size("p") - 1)), start, step)["e"].alias("expression"))

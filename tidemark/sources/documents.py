@@ -61,3 +61,29 @@ def summaries(found: DataFrame, files: DataFrame) -> DataFrame:
     made = renders(files).groupBy("job_id").agg(F.count("*").alias("render_count"), F.count_if(F.col("kind") == "short").alias("short_count"))
     x = found.join(sizes, "job_id", "left").join(made, "job_id", "left")
     return x.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("storage_bytes", "render_count", "short_count")})
+
+
+#: What of a task a diagnostics bundle shows, and how many tasks.
+TASK_FIELDS = ("task_id", "kind", "status", "stage", "progress", "job_id", "error", "created_at", "updated_at", "recoverable")
+BUNDLE_TASKS = 100
+
+
+def diagnostics(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """A row for each project document of docs(folder, doc), also for those that can't be read, and for each of the newest tasks.
+
+    Only fixed columns are shown, so no texts, paths or keys leave; times are strings. A task column that isn't there is null.
+    """
+    x = docs.withColumn("p", F.from_json("doc", PROJECT + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    broken = F.col("p").isNull() | F.col("p._broken").isNotNull()
+    told = lambda c: F.when(~broken, F.col(f"p.{c}"))
+    projects = x.select(
+        F.lit("project").alias("section"), F.coalesce(told("job_id"), "folder").alias("job_id"), told("title").alias("title"), told("source_type").alias("source_type"), told("status").alias("status"),
+        F.when(~broken, F.coalesce(F.size("p.clips"), F.lit(0))).alias("clip_count"), told("updated_at").alias("updated_at"), broken.alias("read_error"),
+    )
+    shown = tasks.orderBy(F.desc("created_at"), F.desc("task_id")).limit(BUNDLE_TASKS).select(F.lit("task").alias("section"), *[(F.col(c).cast("string") if c in tasks.columns else F.lit(None).cast("string")).alias(c) for c in TASK_FIELDS])
+    return projects.unionByName(shown, allowMissingColumns=True)
+
+
+def write_bundle(rows: DataFrame, folder: str) -> None:
+    """The bundle as lines of JSON, one folder a section."""
+    rows.write.mode("overwrite").partitionBy("section").json(folder)
