@@ -11,6 +11,9 @@ from tidemark.functions import lexicon as lx
 from tidemark.functions import text as T
 
 KINDS = tuple(lx.TYPE_KEYWORDS)
+STRUCTURES = ("auto", "single-story", "compilation", "conversation")
+#: Signals at most of one part of a context, and of the whole.
+SIGNALS, ALL_SIGNALS = 4, 6
 
 
 def job_texts(segs: DataFrame, most: int | None = None) -> DataFrame:
@@ -22,16 +25,18 @@ def job_texts(segs: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def content_type(segs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(job_id, kind, confidence) from keywords in the title and hint of requests(job_id, title) and in the first 180 segments."""
+    """(job_id, kind, confidence, signals) from keywords in the title and hint of requests(job_id, title) and in the first 180 segments."""
     x = requests.join(job_texts(segs, 180), "job_id", "left").select("job_id", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("transcript", F.lit("")).alias("t"))
     votes = {k: reduce(lambda a, b: a + b, [F.contains("title", F.lit(w)).cast("int") * 28 + F.contains("t", F.lit(w)).cast("int") * 8 for w in ws]) for k, ws in lx.TYPE_KEYWORDS.items()}
     talk = (F.length("t") > 1000) & (T.times_in(F.col("t"), "?") >= 4) & (T.times_in(F.col("t"), " i ") + T.times_in(F.col("t"), " we ") + T.times_in(F.col("t"), " you ") >= 18)
     votes["podcast"] = votes["podcast"] + F.when(talk, 12).otherwise(0)
-    y = x.select("job_id", *[v.alias(f"v{i}") for i, v in enumerate(votes.values())])
+    told = [F.when(F.contains("title", F.lit(w)), f"title/subject mentions {w.strip()}") for ws in lx.TYPE_KEYWORDS.values() for w in ws]
+    signals = F.slice(F.array_compact(F.array(*told, F.when(talk, "dialogue-heavy transcript"))), 1, SIGNALS)
+    y = x.select("job_id", *[v.alias(f"v{i}") for i, v in enumerate(votes.values())], signals.alias("signals"))
     order = F.sort_array(F.array(*[F.struct((-F.col(f"v{i}")).alias("v"), F.lit(i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)]))
-    y = y.select("job_id", F.get(order, F.lit(0))["kind"].alias("kind"), (-F.get(order, F.lit(0))["v"]).alias("best"), (-F.get(order, F.lit(1))["v"]).alias("second"))
+    y = y.select("job_id", F.get(order, F.lit(0))["kind"].alias("kind"), (-F.get(order, F.lit(0))["v"]).alias("best"), (-F.get(order, F.lit(1))["v"]).alias("second"), "signals")
     sure = F.least(F.lit(9200), 5000 + F.least("best", F.lit(60)) * 55 + (F.col("best") - F.col("second")) * 40)
-    return y.select("job_id", F.when(F.col("best") < 24, "other").otherwise(F.col("kind")).alias("kind"), F.when(F.col("best") < 24, 3500).otherwise(sure).cast("int").alias("confidence_bp"))
+    return y.select("job_id", F.when(F.col("best") < 24, "other").otherwise(F.col("kind")).alias("kind"), F.when(F.col("best") < 24, 3500).otherwise(sure).cast("int").alias("confidence_bp"), "signals")
 
 
 def structure_votes(segs: DataFrame) -> DataFrame:
@@ -46,20 +51,23 @@ def structure_votes(segs: DataFrame) -> DataFrame:
     return pauses.join(shifts, "job_id", "left").fillna(0, ["comparisons", "low"])
 
 
-def structure(segs: DataFrame) -> DataFrame:
-    """(job_id, structure, confidence): compilation by votes, else single-story."""
+def structure(segs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(job_id, structure, confidence, signals): compilation by votes, else conversation for podcasts of kinds(job_id, kind), else single-story."""
     cues = reduce(lambda a, b: a + b, [T.times_in(F.col("transcript"), c) for c in lx.COMPILATION_CUES])
-    x = structure_votes(segs).join(job_texts(segs).select("job_id", cues.alias("cues")), "job_id", "left").fillna(0, ["cues"])
-    points = (
-        F.when((F.col("duration_cs") >= 15000) & (F.col("hard") >= 3), 150).otherwise(0)
-        + F.when(F.col("very_hard") >= 2, 120).otherwise(0)
-        + F.when((F.col("comparisons") >= 4) & (F.col("low") >= 0.58 * F.col("comparisons")), 150).otherwise(0)
-        + F.least(F.lit(250), F.col("cues") * 90)
-    )
-    many = F.col("points") >= 260
+    x = structure_votes(segs).join(job_texts(segs).select("job_id", cues.alias("cues")), "job_id", "left").fillna(0, ["cues"]).join(kinds.select("job_id", F.col("kind").alias("_kind")), "job_id", "left")
+    votes = [
+        ((F.col("duration_cs") >= 15000) & (F.col("hard") >= 3), F.lit(150), "several long transcript breaks"),
+        (F.col("very_hard") >= 2, F.lit(120), "multiple major pauses"),
+        ((F.col("comparisons") >= 4) & (F.col("low") >= 0.58 * F.col("comparisons")), F.lit(150), "frequent local topic changes"),
+        (F.col("cues") > 0, F.least(F.lit(250), F.col("cues") * 90), "compilation-style wording"),
+    ]
+    points = reduce(lambda a, b: a + b, [F.when(c, v).otherwise(0) for c, v, _ in votes])
+    signals = F.array_compact(F.array(*[F.when(c, why) for c, _, why in votes]))
+    many, talk = F.col("points") >= 260, F.coalesce(F.col("_kind") == "podcast", F.lit(False))
     return x.withColumn("points", points.cast("int")).select(
-        "job_id", "points", F.when(many, "compilation").otherwise("single-story").alias("structure"),
-        F.when(many, F.least(F.lit(9000), 5500 + F.col("points") * 8)).when(F.col("duration_cs") >= 6000, 6200).otherwise(5200).cast("int").alias("confidence_bp"),
+        "job_id", "points", F.when(many, "compilation").when(talk, "conversation").otherwise("single-story").alias("structure"),
+        F.when(many, F.least(F.lit(9000), 5500 + F.col("points") * 8)).when(talk, 7200).when(F.col("duration_cs") >= 6000, 6200).otherwise(5200).cast("int").alias("confidence_bp"),
+        F.when(~many & talk, F.array(F.lit("podcast/interview content"))).otherwise(signals).alias("signals"),
     )
 
 
@@ -72,16 +80,21 @@ def envelope(clips: DataFrame) -> DataFrame:
     })
 
 
-def resolved(requests: DataFrame, kinds: DataFrame, structures: DataFrame) -> DataFrame:
-    """(job_id, kind, structure, confidence_bp, chosen): what the user asked for, else what was found.
+def resolved(requests: DataFrame, found_kinds: DataFrame, segs: DataFrame) -> DataFrame:
+    """(job_id, kind, structure, confidence_bp, signals): what the user asked for, else what was found.
 
-    requests(job_id, asked_kind, asked_structure); a choice of the user's is sure,
-    and the whole is as sure as its less sure part. chosen tells what the user chose.
+    requests(job_id, asked_kind, asked_structure); a choice of the user's is sure, and the whole is as sure as its less
+    sure part. The structure follows from the kind that holds, the user's included.
     """
     known = lambda c, valid: F.when(F.lower(F.trim(F.coalesce(c, F.lit("auto")))).isin(*valid), F.lower(F.trim(c))).otherwise("auto")
-    x = requests.select("job_id", known(F.col("asked_kind"), lx.CONTENT_TYPES).alias("_k"), known(F.col("asked_structure"), ("auto", "single-story", "compilation")).alias("_s"))
-    x = x.join(kinds.select("job_id", "kind", F.col("confidence_bp").alias("_kc")), "job_id").join(structures.select("job_id", "structure", F.col("confidence_bp").alias("_sc")), "job_id")
+    x = requests.select("job_id", known(F.col("asked_kind"), lx.CONTENT_TYPES).alias("_k"), known(F.col("asked_structure"), STRUCTURES).alias("_s"))
     mine = lambda c: F.col(c) != "auto"
-    sure = F.least(F.when(mine("_k"), 10000).otherwise(F.col("_kc")), F.when(mine("_s"), 10000).otherwise(F.col("_sc")))
-    told = F.concat_ws(", ", F.when(mine("_k"), "user-selected content type"), F.when(mine("_s"), "user-selected content structure"))
-    return x.select("job_id", F.when(mine("_k"), F.col("_k")).otherwise(F.col("kind")).alias("kind"), F.when(mine("_s"), F.col("_s")).otherwise(F.col("structure")).alias("structure"), sure.cast("int").alias("confidence_bp"), told.alias("chosen"))
+    chosen = lambda c, what, found: F.when(mine(c), F.array(F.lit(f"user-selected content {what}"))).otherwise(F.col(found))
+    x = x.join(found_kinds.select("job_id", "kind", F.col("confidence_bp").alias("_kc"), F.col("signals").alias("_ks")), "job_id")
+    x = x.withColumns({"kind": F.when(mine("_k"), F.col("_k")).otherwise(F.col("kind")), "_kc": F.when(mine("_k"), 10000).otherwise(F.col("_kc")), "_ks": chosen("_k", "type", "_ks")})
+    shapes = structure(segs, x.select("job_id", "kind")).select("job_id", "structure", F.col("confidence_bp").alias("_sc"), F.col("signals").alias("_ss"))
+    x = x.join(shapes, "job_id")
+    return x.select(
+        "job_id", "kind", F.when(mine("_s"), F.col("_s")).otherwise(F.col("structure")).alias("structure"), F.least("_kc", F.when(mine("_s"), 10000).otherwise(F.col("_sc"))).cast("int").alias("confidence_bp"),
+        F.slice(F.array_distinct(F.concat("_ks", chosen("_s", "structure", "_ss"))), 1, ALL_SIGNALS).alias("signals"),
+    )

@@ -28,33 +28,60 @@ def _votes() -> str:
     return ", ".join(f"{{'v': -({x}), 'i': {i}, 'kind': '{k}'}}" for i, (k, x) in enumerate(v.items()))
 
 
-@query(S.BRIDGE + f""", t AS (SELECT job_id, lower({_CLIPTEXT}) AS t, lower({S.listed(_TITLES)}[job_id % 7 + 1]) AS title FROM segments WHERE seg_ix < 180 GROUP BY job_id), v AS (SELECT job_id, list_sort([{_votes()}]) AS l FROM t)
-SELECT job_id, CASE WHEN -l[1].v < 24 THEN 'other' ELSE l[1].kind END AS kind, CAST(CASE WHEN -l[1].v < 24 THEN 3500 ELSE least(9200, 5000 + least(-l[1].v, 60) * 55 + (l[2].v - l[1].v) * 40) END AS INTEGER) AS confidence_bp FROM v""")
+_TALK = f"length(t) > 1000 AND {S.times_in('t', '?')} >= 4 AND {S.times_in('t', ' i ')} + {S.times_in('t', ' we ')} + {S.times_in('t', ' you ')} >= 18"
+_TOLD = ", ".join(f"CASE WHEN contains(title, {S.q(w)}) THEN {S.q('title/subject mentions ' + w.strip())} END" for ws in lx.TYPE_KEYWORDS.values() for w in ws)
+_KINDS = f"""kt AS (SELECT job_id, lower({_CLIPTEXT}) AS t, lower({S.listed(_TITLES)}[job_id % 7 + 1]) AS title FROM segments WHERE seg_ix < 180 GROUP BY job_id), kv AS (SELECT *, list_sort([{_votes()}]) AS l, list_filter([{_TOLD}, CASE WHEN {_TALK} THEN 'dialogue-heavy transcript' END], lambda x: x IS NOT NULL)[1:4] AS signals FROM kt),
+kinds AS (SELECT job_id, CASE WHEN -l[1].v < 24 THEN 'other' ELSE l[1].kind END AS kind, CAST(CASE WHEN -l[1].v < 24 THEN 3500 ELSE least(9200, 5000 + least(-l[1].v, 60) * 55 + (l[2].v - l[1].v) * 40) END AS INTEGER) AS confidence_bp, signals FROM kv)"""
+_told = lambda x: x.withColumn("signals", F.array_join("signals", "; "))
+
+
+@query(S.BRIDGE + ", " + _KINDS + " SELECT job_id, kind, confidence_bp, array_to_string(signals, '; ') AS signals FROM kinds")
 def agg4_content_type(spark, d):
-    segs = bridge.segments(spark, d)
+    """The content type of each job by keywords in its title and text, and the signals for it (AGG-4)."""
+    return _told(_kinds(bridge.segments(spark, d)))
+
+
+def _kinds(segs):
     title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("job_id") % 7 + 1).cast("int"))
     return context.content_type(segs, segs.select("job_id").distinct().withColumn("title", title))
 
 
-@query(S.GAPS + f""", p AS (SELECT job_id, arg_max(end_cs, seg_ix) - arg_min(start_cs, seg_ix) AS dur, count(*) FILTER (seg_ix > 0 AND gap_before >= 220) AS hard, count(*) FILTER (seg_ix > 0 AND gap_before >= 400) AS very FROM gaps GROUP BY job_id),
+def _structure_sql(kinds: str) -> str:
+    """CTEs up to structures(job_id, points, structure, confidence_bp, signals), from kinds(job_id, kind)."""
+    return f"""p AS (SELECT job_id, arg_max(end_cs, seg_ix) - arg_min(start_cs, seg_ix) AS dur, count(*) FILTER (seg_ix > 0 AND gap_before >= 220) AS hard, count(*) FILTER (seg_ix > 0 AND gap_before >= 400) AS very FROM gaps GROUP BY job_id),
 b AS (SELECT job_id, seg_ix // 8 AS block, list_distinct(flatten(list({S.topic('text')}))) AS t FROM segments GROUP BY ALL), n AS (SELECT job_id, t, lead(t) OVER (PARTITION BY job_id ORDER BY block) AS u FROM b WHERE len(t) > 0), s AS (SELECT job_id, count(*) AS comparisons, count(*) FILTER ({S.jaccard('t', 'u')} < 0.08) AS low FROM n WHERE u IS NOT NULL GROUP BY job_id),
 c AS (SELECT job_id, {' + '.join(S.times_in('x', w) for w in lx.COMPILATION_CUES)} AS cues FROM (SELECT job_id, lower({_CLIPTEXT}) AS x FROM segments GROUP BY job_id)),
-a AS (SELECT job_id, dur, CASE WHEN dur >= 15000 AND hard >= 3 THEN 150 ELSE 0 END + CASE WHEN very >= 2 THEN 120 ELSE 0 END + CASE WHEN coalesce(comparisons, 0) >= 4 AND low >= 0.58 * comparisons THEN 150 ELSE 0 END + least(250, cues * 90) AS points FROM p LEFT JOIN s USING (job_id) LEFT JOIN c USING (job_id))
-SELECT job_id, CAST(points AS INTEGER) AS points, CASE WHEN points >= 260 THEN 'compilation' ELSE 'single-story' END AS structure, CAST(CASE WHEN points >= 260 THEN least(9000, 5500 + points * 8) WHEN dur >= 6000 THEN 6200 ELSE 5200 END AS INTEGER) AS confidence_bp FROM a""")
+v AS (SELECT job_id, dur, dur >= 15000 AND hard >= 3 AS v1, very >= 2 AS v2, coalesce(comparisons, 0) >= 4 AND low >= 0.58 * comparisons AS v3, coalesce(cues, 0) AS cues FROM p LEFT JOIN s USING (job_id) LEFT JOIN c USING (job_id)),
+a AS (SELECT v.*, kind = 'podcast' AS talk, 150 * v1::INT + 120 * v2::INT + 150 * coalesce(v3, false)::INT + least(250, cues * 90) AS points FROM v LEFT JOIN {kinds} USING (job_id)),
+structures AS (SELECT job_id, CAST(points AS INTEGER) AS points, CASE WHEN points >= 260 THEN 'compilation' WHEN talk THEN 'conversation' ELSE 'single-story' END AS structure, CAST(CASE WHEN points >= 260 THEN least(9000, 5500 + points * 8) WHEN talk THEN 7200 WHEN dur >= 6000 THEN 6200 ELSE 5200 END AS INTEGER) AS confidence_bp,
+  CASE WHEN points < 260 AND talk THEN ['podcast/interview content'] ELSE list_filter([CASE WHEN v1 THEN 'several long transcript breaks' END, CASE WHEN v2 THEN 'multiple major pauses' END, CASE WHEN v3 THEN 'frequent local topic changes' END, CASE WHEN cues > 0 THEN 'compilation-style wording' END], lambda x: x IS NOT NULL) END AS signals FROM a)"""
+
+
+@query(S.GAPS + ", " + _KINDS + ", " + _structure_sql("kinds") + " SELECT job_id, points, structure, confidence_bp, array_to_string(signals, '; ') AS signals FROM structures")
 def agg5_structure(spark, d):
-    return context.structure(bridge.segments(spark, d))
+    """Compilation, conversation or single story, by pauses, topics, wording and the kind that was found (AGG-5)."""
+    segs = bridge.segments(spark, d)
+    return _told(context.structure(segs, _kinds(segs)))
 
 
 _ASKED_KINDS = ("auto", " Podcast", "bogus", "anime")
-_ASKED_STRUCTURES = ("auto", "compilation", "other")
+_ASKED_STRUCTURES = ("auto", "compilation", "other", " Conversation ", "auto")
+_CONTEXTS = _KINDS + f""", asked AS (SELECT job_id, kind AS found, confidence_bp AS kc0, signals AS ks0, {S.listed(_ASKED_KINDS)}[job_id % 4 + 1] AS ak, {S.listed(_ASKED_STRUCTURES)}[job_id % 5 + 1] AS ast FROM kinds),
+held AS (SELECT job_id, ast, CASE ak WHEN ' Podcast' THEN 'podcast' WHEN 'anime' THEN 'anime' ELSE found END AS kind, CASE WHEN ak IN (' Podcast', 'anime') THEN 10000 ELSE kc0 END AS kc, CASE WHEN ak IN (' Podcast', 'anime') THEN ['user-selected content type'] ELSE ks0 END AS ks FROM asked), """ + _structure_sql("held") + """,
+contexts AS (SELECT held.job_id, kind, CASE ast WHEN 'compilation' THEN 'compilation' WHEN ' Conversation ' THEN 'conversation' ELSE structure END AS structure, CAST(least(kc, CASE WHEN ast IN ('compilation', ' Conversation ') THEN 10000 ELSE confidence_bp END) AS INTEGER) AS confidence_bp,
+  list_concat(ks, CASE WHEN ast IN ('compilation', ' Conversation ') THEN ['user-selected content structure'] ELSE structures.signals END)[1:6] AS signals FROM held JOIN structures USING (job_id))"""
 
 
-@query("WITH k AS (" + ORACLE["agg4_content_type"] + "), s AS (" + ORACLE["agg5_structure"] + f"), q AS (SELECT k.job_id, k.kind, k.confidence_bp AS kc, s.structure, s.confidence_bp AS sc, {S.listed(_ASKED_KINDS)}[k.job_id % 4 + 1] AS a, {S.listed(_ASKED_STRUCTURES)}[k.job_id % 3 + 1] AS b FROM k JOIN s ON s.job_id = k.job_id) SELECT job_id, CASE a WHEN ' Podcast' THEN 'podcast' WHEN 'anime' THEN 'anime' ELSE kind END AS kind, CASE b WHEN 'compilation' THEN 'compilation' ELSE structure END AS structure, CAST(least(CASE WHEN a IN (' Podcast', 'anime') THEN 10000 ELSE kc END, CASE WHEN b = 'compilation' THEN 10000 ELSE sc END) AS INTEGER) AS confidence_bp, concat_ws(', ', CASE WHEN a IN (' Podcast', 'anime') THEN 'user-selected content type' END, CASE WHEN b = 'compilation' THEN 'user-selected content structure' END) AS chosen FROM q")
+@query(S.GAPS + ", " + _CONTEXTS + " SELECT job_id, kind, structure, confidence_bp, array_to_string(signals, '; ') AS signals FROM contexts")
 def agg6_context(spark, d):
     """The context of each job: the user's choice where there is one, else what was found (AGG-6)."""
+    return _told(contexts(bridge.segments(spark, d)))
+
+
+def contexts(segs):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("job_id") % len(values) + 1).cast("int"))
-    asked = bridge.segments(spark, d).select("job_id").distinct().select("job_id", pick(_ASKED_KINDS).alias("asked_kind"), pick(_ASKED_STRUCTURES).alias("asked_structure"))
-    return context.resolved(asked, agg4_content_type(spark, d), agg5_structure(spark, d))
+    asked = segs.select("job_id").distinct().select("job_id", pick(_ASKED_KINDS).alias("asked_kind"), pick(_ASKED_STRUCTURES).alias("asked_structure"))
+    return context.resolved(asked, _kinds(segs), segs)
 
 
 @query(S.BRIDGE + r""", t AS (SELECT w.job_id, w.seg_ix, word_ix, pct, lower(regexp_replace(word, '[^\p{L}\p{N}_'']+', '', 'g')) AS tok FROM words w), g AS (SELECT job_id, seg_ix, count(*) AS n, sum(pct) AS s, count(*) FILTER (pct < 38) AS n38, count(*) FILTER (pct < 48) AS n48, count(*) FILTER (pct < 25) AS n25, count(*) FILTER (tok <> '') AS toks FROM t GROUP BY ALL),
@@ -380,18 +407,3 @@ def mut5_task_lifecycle(spark, d):
     p = (F.floor(F.col("value") * 11) - 20).cast("long")
     e = _read(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("kind"), p.alias("progress"), ((F.col("event_type") == "error") & (p > 100)).alias("cancel"))
     return catalog.task_states(e, "user_id", "ts", "event_id", failed="error", done="purchase").select("user_id", "status", "progress", "ts")
-
-
-def _scene_candidates(spark, d):
-    from tidemark.operators import scene_ranking
-
-    segs = bridge.segments(spark, d).persist()
-    cuts = shots(segs)
-    return scene_ranking.candidates(segs, scenes.scenes(segs.withColumn("compilation", F.lit(False)), cuts), bridge.words(segs), cuts)
-
-
-@query()
-def scr3_scene_candidates(spark, d):
-    """Scene-local clips with narrative, boundary and repair measures (SCR-3 to SCR-8; checked by tests)."""
-    return _scene_candidates(spark, d).drop("sig", "topics")
-

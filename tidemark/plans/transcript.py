@@ -265,11 +265,25 @@ def jn12_windows(spark, d):
 
 
 def _score_sql() -> str:
-    num = r"'\b\d+(?:\.\d+)?%?\b|[$£€]\s?\d'"
     return S.GAPS + f""", w AS (SELECT job_id, seg_ix AS start_ix, start_cs, text AS start_text, gap_before, count(*) OVER v AS n_in, list(text) OVER v AS texts, unnest(generate_series(1, count(*) OVER v)) AS k FROM gaps WINDOW v AS (PARTITION BY job_id ORDER BY seg_ix ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
 c AS (SELECT w.*, g.seg_ix AS end_ix, g.end_cs, g.text AS end_text, g.gap_after, g.end_cs - w.start_cs AS d_cs FROM w JOIN gaps g ON g.job_id = w.job_id AND g.seg_ix = w.start_ix + w.k - 1 WHERE g.end_cs - w.start_cs BETWEEN 1800 AND 6500),
 a AS (SELECT *, d_cs / 100.0::DOUBLE AS d, {S.clean("array_to_string(texts[1:k], ' ')")} AS text FROM c WHERE {S.ends_clean('end_text')} OR gap_after >= 45 OR (d_cs BETWEEN 2600 AND 5000 AND k = n_in)),
-f0 AS (SELECT *, lower(text) AS low, lower({S.clean('end_text')}) AS e, {S.opening('start_text')} AS o, {S.words('text')} AS ws FROM a),
+""" + scored_sql("a")
+
+
+_REASONS = (
+    ("ideal", 15, "Strong Shorts length"), ("NOT ideal AND usable", 8, "Usable short-form length"), ("cs", 8, "Clean standalone opening"), ("hk", 14, "Strong opening hook"), ("qu", 8, "Question-led hook"), ("onum", 5, "Specific opening detail"),
+    ("gap_before >= 35", 4, "Natural start boundary"), ("ce", 8, "Clean ending"), ("gap_after >= 35", 4, "Natural end boundary"), ("pe", 13, "Ends on a clear payoff"), ("late", 7, "Contains a payoff or takeaway"), ("pv", 6, "Has a story/idea turn"),
+    ("nu", 5, "Specific detail or number"), ("it", 6, "High-interest language"), ("wpm BETWEEN 100 AND 205", 6, "Good speaking density"),
+)
+#: The note of a scored window.
+NOTE = "'Best at ' || best_at[1].d || ' + ' || best_at[2].d || '.' || CASE WHEN worst_at[1].v < 45 THEN ' ' || worst_at[1].d || ' is the main trade-off.' ELSE '' END"
+
+
+def scored_sql(a: str) -> str:
+    """CTEs f0 to scored over windows a(start_text, end_text, text, d, gap_before, gap_after, ...)."""
+    num = r"'\b\d+(?:\.\d+)?%?\b|[$£€]\s?\d'"
+    return f"""f0 AS (SELECT *, lower(text) AS low, lower({S.clean('end_text')}) AS e, {S.opening('start_text')} AS o, {S.words('text')} AS ws FROM {a}),
 f1 AS (SELECT *, len(ws) AS n, {S.starts_clean('start_text')} AS cs, {S.starts_any('o', lx.HOOK_PHRASES)} OR {S.any_in('left(o, 110)', lx.HOOK_PHRASES)} AS hk, contains(left({S.clean('start_text')}, 180), '?') AS qu, regexp_matches(left({S.clean('start_text')}, 220), {num}) AS onum, {S.ends_clean('end_text')} AS ce, {S.any_in('e', lx.PAYOFF_PHRASES)} AS pe, {S.any_in('substr(low, length(low) // 2 + 1)', lx.PAYOFF_PHRASES)} AS pl,
  (length(low) - greatest({', '.join(S.last_at('low', p) for p in lx.PAYOFF_PHRASES)}))::DOUBLE / greatest(length(low), 1) AS tail, {S.starts_clean('end_text')} AS ecs, {S.any_in('low', lx.PIVOT_PHRASES)} AS pv, regexp_matches(text, {num}) AS nu, {S.any_in('low', lx.INTEREST_TERMS)} AS it,
  (len(list_filter(ws, lambda t: list_contains({S.listed(lx.FILLER_WORDS)}, t))) + {' + '.join(S.times_in('low', p) for p in lx.FILLER_PHRASES)})::DOUBLE / greatest(len(ws), 1) AS fr, list_filter(ws, lambda t: length(t) > 3) AS lw, {S.last_word('e', 100)} IN ({', '.join(map(S.q, lx.TRAILING_DEPENDENCIES))}) AS tr FROM f0),
@@ -282,12 +296,16 @@ s AS (SELECT *,
  38.0::DOUBLE + CASE WHEN ideal THEN 24 WHEN usable THEN 13 ELSE -12 END + 8 * hk::INT + 7 * qu::INT + CASE WHEN pe THEN 8 ELSE 0 END - CASE WHEN late AND tail > 0.20 THEN 8 ELSE 0 END + 8 * pv::INT + 4 * nu::INT + 15 * it::INT + CASE WHEN wpm BETWEEN 100 AND 205 THEN 10 WHEN wpm < 65 OR wpm > 250 THEN -12 ELSE 0 END - CASE WHEN fr > 0.07 THEN p ELSE 0 END - CASE WHEN ur < 0.42 THEN 8 ELSE 0 END AS rt,
  42.0::DOUBLE + 7 * cs::INT + 5 * onum::INT + 4 * (gap_before >= 35)::INT + 8 * ce::INT + 8 * nu::INT + CASE WHEN wpm BETWEEN 100 AND 205 THEN 10 WHEN wpm < 65 OR wpm > 250 THEN -15 ELSE 0 END + CASE WHEN n BETWEEN 45 AND 155 THEN 10 WHEN n < 28 THEN -18 WHEN n > 190 THEN -10 ELSE 0 END - CASE WHEN fr > 0.07 THEN p * 1.5 ELSE 0 END - CASE WHEN ur < 0.42 THEN 10 ELSE 0 END + CASE WHEN ur > 0.66 THEN 5 ELSE 0 END AS cl FROM f2),
 b AS (SELECT *, CAST(greatest(1, least(99, round_even(h, 0))) AS INTEGER) AS hook, CAST(greatest(1, least(99, round_even(st, 0))) AS INTEGER) AS standalone, CAST(greatest(1, least(99, round_even(py, 0))) AS INTEGER) AS payoff, CAST(greatest(1, least(99, round_even(rt, 0))) AS INTEGER) AS retention, CAST(greatest(1, least(99, round_even(cl, 0))) AS INTEGER) AS clarity FROM s),
-scored AS (SELECT *, CAST(greatest(1, least(98, round_even(raw * 0.62 + (hook * 0.25 + standalone * 0.22 + payoff * 0.22 + retention * 0.19 + clarity * 0.12) * 0.38, 0))) AS INTEGER) AS score, {S.starts_clean('start_text')} OR gap_before >= 45 OR {S.any_in(f'left(lower({S.clean("start_text")}), 120)', lx.HOOK_PHRASES)} AS good FROM b)"""
+scored AS (SELECT *, CAST(greatest(1, least(98, round_even(raw * 0.62 + (hook * 0.25 + standalone * 0.22 + payoff * 0.22 + retention * 0.19 + clarity * 0.12) * 0.38, 0))) AS INTEGER) AS score, {S.starts_clean('start_text')} OR gap_before >= 45 OR {S.any_in(f'left(lower({S.clean("start_text")}), 120)', lx.HOOK_PHRASES)} AS good,
+ list_transform(list_reverse_sort(list_filter([{', '.join(f"CASE WHEN {cond} THEN {{'w': {w}, 'why': {S.q(why)}}} END" for cond, w, why in _REASONS)}], lambda r: r IS NOT NULL))[1:4], lambda r: r.why) AS reasons,
+ list_sort([{', '.join(f"{{'v': -{x}, 'k': {k}, 'd': '{x}'}}" for k, x in enumerate(ranking._DIMENSIONS))}]) AS best_at, list_sort([{', '.join(f"{{'v': {x}, 'k': {k}, 'd': '{x.capitalize()}'}}" for k, x in enumerate(ranking._DIMENSIONS))}]) AS worst_at FROM b)"""
 
 
-@query(_score_sql() + "SELECT job_id, start_ix, end_ix, score, hook, standalone, payoff, retention, clarity FROM scored")
+@query(_score_sql() + f" SELECT job_id, start_ix, end_ix, score, hook, standalone, payoff, retention, clarity, array_to_string(reasons, '; ') AS reasons, {NOTE} AS note FROM scored")
 def scr1_score(spark, d):
-    return ranking.scored(ranking.admitted(ranking.windows(bridge.segments(spark, d)))).select("job_id", "start_ix", "end_ix", "score", *ranking._DIMENSIONS)
+    """The score of each admitted window, its dimensions, best reasons and note (SCR-1, SRT-4, SRT-5)."""
+    x = ranking.scored(ranking.admitted(ranking.windows(bridge.segments(spark, d))))
+    return x.select("job_id", "start_ix", "end_ix", "score", *ranking._DIMENSIONS, F.array_join("reasons", "; ").alias("reasons"), "note")
 
 
 def _greedy_sql(most: int = 3) -> str:
