@@ -28,12 +28,33 @@ def topic_tokens(c: Column) -> Column:
     return F.array_except(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: F.length(w) >= 4), stop)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def listed(phrases) -> Column:
+    """An array of fixed phrases."""
+    return F.expr("array(" + ", ".join("'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in phrases) + ")")
+
+
 def any_in(c: Column, phrases) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in phrases])
+    return let(c, lambda x: F.exists(listed(phrases), lambda p: F.contains(x, p)))
 
 
 def starts_any(c: Column, phrases) -> Column:
-    return reduce(lambda a, b: a | b, [F.startswith(c, F.lit(p)) for p in phrases])
+    return let(c, lambda x: F.exists(listed(phrases), lambda p: F.startswith(x, p)))
+
+
+def last_of(c: Column, phrases, end: bool = False) -> Column:
+    """Where the last of all occurrences of the phrases begins, or the last to end ends, zero-based; -1: none. The text is turned round once."""
+
+    def place(x: Column) -> Column:
+        back = lambda r, p: F.instr(r["r"], p)
+        at = lambda r, p: F.when(back(r, p) > 0, r["n"] - back(r, p) + 1 - (F.lit(0) if end else F.length(p))).otherwise(-1)
+        return let(F.struct(F.reverse(x).alias("r"), F.length(x).alias("n")), lambda r: F.array_max(F.transform(listed([p[::-1] for p in phrases]), lambda p: at(r, p))))
+
+    return let(c, place)
 
 
 def last_at(c: Column, phrase: str) -> Column:
@@ -81,9 +102,7 @@ def _end_of_last(x: Column, pattern: str) -> Column:
 
 def closure_end(c: Column) -> Column:
     """End of the last closure cue or pattern; -1: none."""
-    x = F.lower(clean(c))
-    cues = [F.when(last_at(x, p) >= 0, last_at(x, p) + len(p)).otherwise(F.lit(-1)) for p in lx.CLOSURE_CUES]
-    return F.greatest(*cues, *[_end_of_last(x, p) for p in lx.CLOSURE_PATTERNS])
+    return let(F.lower(clean(c)), lambda x: F.greatest(last_of(x, lx.CLOSURE_CUES, end=True), *[_end_of_last(x, p) for p in lx.CLOSURE_PATTERNS]))
 
 
 def short_reaction(c: Column) -> Column:

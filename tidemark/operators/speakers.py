@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 # Fixed values.
 #: Share of the largest face's area from which a face is important.
 IMPORTANT = 0.35
@@ -33,11 +35,6 @@ STATE = "active double, pending double, pending_n int, since_active int, since_f
 TARGET = "t double, target double, camera double, follows string, switched boolean"
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value worked out once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def seen(samples: DataFrame, key: str, profile: str = "standard") -> DataFrame:
     """samples with what of the faces hangs on no other sample: n, important centres, group centre, the one who speaks."""
     f = F.col("faces")
