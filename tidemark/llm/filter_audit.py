@@ -200,10 +200,12 @@ def ranged(terminals: DataFrame, range_bytes: int = RANGE_BYTES, group_bytes: in
 
     A beginning whose texts are over group_bytes is made STEP times as long, until
     it isn't heavy or is the whole text. The heavy ones are broadcast: they are at
-    most MOST_HEAVY, as group_bytes grows with what there is.
+    most MOST_HEAVY, as group_bytes grows with what there is. Where there are more ranges than the bytes call for, groups
+    are smaller too: a quarter of a range's share.
     """
     total = terminals.agg(F.sum("n_bytes")).first()[0] or 0
-    group_bytes = max(group_bytes, total // MOST_HEAVY)
+    n = max(partitions(terminals.sparkSession), -(-total // range_bytes))
+    group_bytes = max(min(group_bytes, total // (4 * n)), total // MOST_HEAVY)
     x = terminals.withColumn("_open", F.lit(True))
     length = first
     while True:
@@ -212,7 +214,6 @@ def ranged(terminals: DataFrame, range_bytes: int = RANGE_BYTES, group_bytes: in
             break
         length *= STEP
         x = x.join(F.broadcast(heavy), "beginning", "left").withColumn("_open", F.coalesce("_heavy", F.lit(False))).withColumn("beginning", F.when(F.col("_open"), F.substring("text", 1, length)).otherwise(F.col("beginning"))).drop("_heavy")
-    n = max(partitions(terminals.sparkSession), -(-total // range_bytes))
     return x.select("key", "doc_id", "text", "beginning").repartitionByRange(n, "beginning").sortWithinPartitions("beginning")
 
 
