@@ -38,14 +38,10 @@ def sentences(c: Column) -> Column:
 
 
 def strip_fillers(c: Column) -> Column:
-    """Without filler openings, as long as over eight characters stay, and without one opening of opinion."""
-
-    def once(x: Column) -> Column:
-        n = F.length(F.regexp_extract(F.lower(x), "^(" + "|".join(lx.FILLER_STARTS) + ")", 1))
-        return F.when((n > 0) & (F.length(x) > n + 8), F.ltrim(F.substring(x, n + 1, F.length(x)), F.lit(" ,.-"))).otherwise(x)
-
+    """Without filler openings, however many, as long as over eight characters stay, and without one opening of opinion."""
+    fillers = "(?is)^(?:(?:" + "|".join(lx.FILLER_STARTS) + ")(?=.{9})[ ,.-]*+)*+"
     start = F.ltrim(clean(c), F.lit('"“‘'))
-    return F.regexp_replace(F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, lambda x, _: once(x)), "(?i)" + lx.OPINION_START, "")
+    return F.regexp_replace(F.regexp_replace(start, fillers, ""), "(?i)" + lx.OPINION_START, "")
 
 
 def sentence_score(s: Column, i: Column, total: Column, every: Column) -> Column:
@@ -140,7 +136,7 @@ def headline(core: Column) -> Column:
 
 
 def compressed(head: Column, every: Column) -> Column:
-    """A whole clause of a long headline, by the score of its words."""
+    """A whole clause of a long headline, by the score of its words; every: tokens of the headline and of what surrounds the clip."""
 
     def clause(t: Column) -> Column:
         pieces = F.filter(F.transform(F.split(t, "(?i)" + lx.CLAUSE_BREAK), lambda p: F.btrim(p, F.lit(_MARKS))), lambda p: p != "")
@@ -225,7 +221,8 @@ def written(clips: DataFrame) -> DataFrame:
     x = x.withColumn("core", core_sentence(F.col("text"), F.col("sentences"), F.col("_every")))
     x = x.withColumn("support", supporting_sentence(F.col("sentences"), F.col("core"), F.col("_every")))
     x = x.withColumns({"_a": strip_fillers(F.col("core")), "_b": strip_fillers(F.col("support"))})
-    x = x.withColumn("headline", compressed(headline(F.col("_a")), F.col("_every")))
+    x = x.withColumn("_head", headline(F.col("_a")))
+    x = x.withColumn("headline", compressed(F.col("_head"), tokens(F.concat_ws(" ", "_head", "local"))))
     x = x.withColumn("_title", truncate_title(F.col("headline"), F.when(style == "cinematic", 7).otherwise(10), F.when(style == "cinematic", 52).otherwise(66)))
     viral = (style == "viral") | (style == "auto") & (_any(F.lower("core"), lx.COPY_INTEREST) | F.contains("core", F.lit("?")))
     x = x.withColumn("_title", F.when(viral & ~F.contains("_title", F.lit("?")), title_case(F.rtrim("_title", F.lit(".")))).otherwise(sentence_case(F.col("_title"))))
@@ -252,4 +249,4 @@ def written(clips: DataFrame) -> DataFrame:
     tags = F.concat(F.array(hashtag(subject), hashtag(fixed(lx.CONTENT_TAGS, kind)), hashtag(fixed(lx.MOMENT_TAGS, F.col("moment")))), F.transform(specific_topics(F.col("text"), F.col("local"), F.coalesce("hint", F.lit("")), F.col("title")), hashtag))
     x = x.withColumns({"tags": _distinct(tags, 5), "grounded": grounded_terms(F.col("text"), F.col("local"), subject)})
     social = F.when(F.size("tags") > 0, F.trim(F.concat("description", F.lit("\n\n"), F.array_join("tags", " ")))).otherwise(F.col("description"))
-    return x.withColumn("social", social).drop("_style", "_every", "_title", "_a", "_b", "_sa", "_sb", "_one", "_two", "_first", "_second", "_f22", "_f18", "_both")
+    return x.withColumn("social", social).drop("_style", "_every", "_head", "_title", "_a", "_b", "_sa", "_sb", "_one", "_two", "_first", "_second", "_f22", "_f18", "_both")

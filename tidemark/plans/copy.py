@@ -43,10 +43,10 @@ def _tok(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9'']+', 0), lambda w: length(w) >= 4 AND w NOT IN {_q(lx.COPY_STOP)})"
 
 
-def _score(s: str, first: str, last: str) -> str:
-    """Twenty to a point; first and last: conditions on the place."""
+def _score(s: str, first: str, last: str, every: str = "every") -> str:
+    """Twenty to a point; first and last: conditions on the place; every: the tokens that topics are counted in."""
     hit = lambda c, p: f"CASE WHEN {c} THEN {p} ELSE 0 END"
-    topical = f"coalesce(list_sum(list_transform(list_distinct({_tok(s)}), lambda t: least(3, len(list_filter(every, lambda u: u = t))))), 0)"
+    topical = f"coalesce(list_sum(list_transform(list_distinct({_tok(s)}), lambda t: least(3, len(list_filter({every}, lambda u: u = t))))), 0)"
     return " + ".join((
         hit(first, 60), hit(f"contains({s}, '?')", 80), hit(S.any_in(f"lower({s})", lx.COPY_INTEREST), 160), hit(rf"regexp_matches({s}, '\b\d+(?:\.\d+)?%?\b|[$£€]\s?\d')", 60), hit(S.any_in(f"lower({s})", lx.COPY_PAYOFF), 100),
         hit(S.any_in(f"concat(' ', lower({s}), ' ')", lx.COPY_CONTRAST), 60), f"CASE WHEN len({_words(s)}) BETWEEN 6 AND 20 THEN 100 WHEN len({_words(s)}) > 30 THEN -80 ELSE 0 END", hit(last, 20), f"least(140, 11 * {topical})", hit(rf"regexp_matches(rtrim(lower({s}), ' .!?'), '{lx.DANGLING}')", -160),
@@ -55,7 +55,7 @@ def _score(s: str, first: str, last: str) -> str:
 
 def _strip(x: str) -> str:
     step = " ".join(f"WHEN starts_with(lower(a), {S.q(p)}) AND length(a) > {len(p) + 8} THEN ltrim(substr(a, {len(p) + 1}), ' ,.-')" for p in lx.FILLER_STARTS)
-    return f"regexp_replace(list_reduce(list_resize([''], 12, ''), lambda a, u: CASE {step} ELSE a END, ltrim({S.clean(x)}, concat(chr(34), '“‘'))), '(?i){lx.OPINION_START}', '')"
+    return f"regexp_replace(list_reduce(list_resize([''], 60, ''), lambda a, u: CASE {step} ELSE a END, ltrim({S.clean(x)}, concat(chr(34), '“‘'))), '(?i){lx.OPINION_START}', '')"
 
 
 def _weak(w: str, weak=lx.WEAK_TAIL) -> str:
@@ -135,7 +135,7 @@ def _sql() -> str:
     every = f"len({_words('_h')})"
     rules = " ".join(f"WHEN regexp_matches(_h, {S.q('(?i)' + p)}) THEN regexp_replace(_h, {S.q('(?i)' + p)}, {S.q(r)})" for p, r in lx.HEADLINE_RULES)
     group = lambda p: f"regexp_extract(_h, {S.q('(?i)' + p)}, 1)"
-    scored = f"list_transform(_p, lambda p, i: {{'score': {_score('p', 'i = 1', 'i = len(_p) AND len(_p) > 1')} + CASE WHEN {S.any_in('lower(p)', lx.COPY_PAYOFF)} THEN 60 ELSE 0 END, 'i': -i, 'p': p}})"
+    scored = f"list_transform(_p, lambda p, i: {{'score': {_score('p', 'i = 1', 'i = len(_p) AND len(_p) > 1', 'every_h')} + CASE WHEN {S.any_in('lower(p)', lx.COPY_PAYOFF)} THEN 60 ELSE 0 END, 'i': -i, 'p': p}})"
     return S.CLIPS + f""", t0 AS (SELECT c.job_id, clip_ix, string_agg(trim(text), ' ' ORDER BY seg_ix) AS text FROM clips c JOIN segments s ON s.job_id = c.job_id AND s.end_cs > lo AND s.start_cs < hi GROUP BY ALL),
 t1 AS (SELECT job_id, clip_ix, concat({_pick(_LEADS, 'clip_ix + job_id')}, text) AS text FROM t0),
 t2 AS (SELECT job_id, clip_ix, {S.clean('text')} AS text, {S.clean("coalesce(lead(text) OVER (PARTITION BY job_id ORDER BY clip_ix), '')")} AS local, {_pick(_HINTS, 'job_id')} AS hint, {_pick(_KINDS, 'job_id + clip_ix')} AS kind, {_pick(_STYLES, 'clip_ix')} AS asked, CASE {' '.join(f"WHEN {S.any_in('lower(text)', c)} THEN '{k}'" for k, c in lx.MOMENT_CUES.items())} ELSE 'unknown' END AS moment FROM t1),
@@ -146,7 +146,7 @@ t7 AS (SELECT *, list_filter(sents, lambda s: lower({S.clean('s')}) <> lower({S.
 t8 AS (SELECT *, CASE WHEN len(sents) < 2 OR len(cand) = 0 THEN '' ELSE {_strip(f"list_reverse_sort(list_transform(cand, lambda s, i: {{'score': {_score('s', 'i = 1', 'i = len(cand) AND len(cand) > 1')}, 'i': i, 's': s}}))[1].s")} END AS support FROM t7),
 h0 AS (SELECT *, regexp_replace(trim({_strip('core')}, ' "“”'''), {S.q('(?i)' + lx.HEADLINE_OPENING)}, '') AS _h FROM t8),
 h1 AS (SELECT *, trim({S.clean(f"CASE {rules} WHEN len({_words(group(lx.CAUSAL))}) >= 3 THEN trim({group(lx.CAUSAL)}, ' ,.-') WHEN len({_words(group(lx.BECAUSE))}) >= 3 THEN 'Why ' || trim({group(lx.BECAUSE)}, ' ,.-') WHEN len({_words(group(lx.WHEN_CLAUSE))}) BETWEEN 4 AND 10 THEN {group(lx.WHEN_CLAUSE)} ELSE _h END")}, ' ,;:–—') AS _g FROM h0),
-h2 AS (SELECT *, list_filter(list_transform(regexp_split_to_array(_g, {S.q('(?i)' + lx.CLAUSE_BREAK)}), lambda p: trim(p, ' ,;:–—')), lambda p: p <> '') AS _p FROM h1),
+h2 AS (SELECT *, list_filter(list_transform(regexp_split_to_array(_g, {S.q('(?i)' + lx.CLAUSE_BREAK)}), lambda p: trim(p, ' ,;:–—')), lambda p: p <> '') AS _p, {_tok("concat(_g, ' ', local)")} AS every_h FROM h1),
 h3 AS (SELECT *, CASE WHEN len({_words('_g')}) <= 11 AND length(_g) <= 72 THEN _g ELSE coalesce(list_reverse_sort(list_filter({scored}, lambda r: len({_words('r.p')}) BETWEEN 4 AND 20 AND NOT {_weak(f"{_words('r.p')}[-1]")}))[1].p, _g) END AS headline FROM h2),
 n0 AS (SELECT *, trim({S.clean('headline')}, ' .,!?:;–—') AS _t, CASE WHEN style = 'cinematic' THEN 7 ELSE 10 END AS _mw, CASE WHEN style = 'cinematic' THEN 52 ELSE 66 END AS _mc FROM h3),
 n1 AS (SELECT * EXCLUDE (_t), CASE WHEN len({_words('_t')}) <= _mw AND length(_t) <= _mc THEN _t ELSE coalesce(rtrim(array_to_string({_strong(_fitting(_words('_t'), '_mw', '_mc'), 3)}, ' '), ' ,.!?:;–—'), '') END AS _n FROM n0),
