@@ -122,3 +122,26 @@ def test_plans_keep_their_defaults(spark):
     assert r[0].mode == "face" and r[0].sample_count == 0 and r[1].mode == "center" and r[1].keyframes == [] and r[1].visual_profile == "standard"
     again = x.where("p is not null").select("p.*").select(projects.plan_json().alias("j")).collect()
     assert '"keyframes":[[0.123,0.12346],[1.0,0.5]]' in again[0].j
+
+
+def test_frames_of_a_long_job_are_the_same_in_blocks(spark, monkeypatch):
+    from tidemark.operators import ranking, scenes
+
+    rng = random.Random(9)
+    words = ["harbour", "market", "winter", "engine", "garden", "letter", "bridge", "island", "doctor", "signal"]
+    rows, at = [], 0
+    for k in range(260):
+        at += rng.choice([0, 20, 60, 130, 200, 380])
+        rows.append((1, k, at, at + 400, " ".join(rng.sample(words, 4)) + "."))
+        at += 400
+    segs = spark.createDataFrame(rows + [(2, k, k * 500, k * 500 + 450, "Only a few here.") for k in range(3)], SEGMENT)
+    cuts = spark.createDataFrame([(1, t) for t in range(0, at, 3100)], "job_id long, cut_cs long")
+
+    def seen():
+        w = ranking.windows(segs).select("job_id", "start_ix", "end_ix", "text", "gap_before", "gap_after", "at_limit", "tokens.n")
+        return [sorted(map(tuple, df.collect())) for df in (scenes.gaps(segs), scenes.topic_shifts(segs), scenes.scenes(segs.withColumn("compilation", F.lit(True)), cuts), w)]
+
+    whole = seen()
+    monkeypatch.setattr(scenes.blocked, "__defaults__", (32,))
+    parts = seen()
+    assert parts == whole and len(whole[2]) > 20 and len(whole[3]) > 500
