@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+
 #: Fixed value: hashtags of a user's copy at most, and characters of each.
 TAGS, TAG_CHARS = 7, 36
 FIELDS, CONTEXT = "fields", "context"
@@ -19,7 +21,8 @@ def user_tags(raw: Column) -> Column:
     """The user's hashtags: letters and digits, first spelling of each, TAGS at most."""
     clean = F.transform(raw, lambda t: F.left(F.regexp_replace(F.regexp_replace(t, "^#+", ""), "[^A-Za-z0-9]", ""), F.lit(TAG_CHARS)))
     tags = F.transform(F.filter(clean, lambda t: t != ""), lambda t: F.concat(F.lit("#"), t))
-    return F.slice(F.filter(tags, lambda t, k: F.array_position(F.transform(tags, F.lower), F.lower(t)) == k + 1), 1, TAGS)
+    first = lambda ts, low: F.slice(F.filter(ts, lambda t, k: F.array_position(low, F.lower(t)) == k + 1), 1, TAGS)
+    return T.let(tags, lambda ts: T.let(F.transform(ts, F.lower), lambda low: first(ts, low)))
 
 
 def copy_fields(title: Column, description: Column, hashtags: Column, social: Column) -> Column:
@@ -27,10 +30,13 @@ def copy_fields(title: Column, description: Column, hashtags: Column, social: Co
     trim = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
     given = trim(description)
     text = F.when(given != "", given).otherwise(trim(F.substring_index(trim(social), "\n\n", 1)))
-    tags = user_tags(F.coalesce(hashtags, F.array().cast("array<string>")))
-    joined = F.array_join(tags, " ")
-    caption = F.when(F.size(tags) > 0, trim(F.concat(text, F.lit("\n\n"), joined))).otherwise(text)
-    return F.when(trim(title) != "", F.create_map(F.lit("title"), trim(title), F.lit("description"), text, F.lit("hashtags"), joined, F.lit("social_caption"), caption))
+    tags = F.array_join(user_tags(F.coalesce(hashtags, F.array().cast("array<string>"))), " ")
+
+    def made(x: Column) -> Column:
+        caption = F.when(x["tags"] != "", trim(F.concat(x["text"], F.lit("\n\n"), x["tags"]))).otherwise(x["text"])
+        return F.create_map(F.lit("title"), x["title"], F.lit("description"), x["text"], F.lit("hashtags"), x["tags"], F.lit("social_caption"), caption)
+
+    return F.when(trim(title) != "", T.let(F.struct(trim(title).alias("title"), text.alias("text"), tags.alias("tags")), made))
 
 
 def feedback(reason: Column, note: Column) -> Column:

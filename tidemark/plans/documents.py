@@ -51,12 +51,13 @@ def agg12_storage(spark, d):
 
 @query(S.BRIDGE + ", w AS (SELECT job_id, seg_ix, count(*) AS n, sum(pct) AS p FROM words GROUP BY ALL) SELECT s.job_id, s.seg_ix, start_cs, end_cs, text, n AS n_words, CAST(p AS BIGINT) AS pct FROM segments s JOIN w USING (job_id, seg_ix)")
 def src1_transcript_json(spark, d):
-    """Segments written as JSON documents and read back (SNK-1, SRC-1)."""
+    """Each job's segments written as one JSON document and read back in their order (SNK-1, SRC-1)."""
     segs = bridge.segments(spark, d)
     words = bridge.words(segs).groupBy("job_id", "seg_ix").agg(F.array_sort(F.collect_list(F.struct((F.col("start_cs") / 100).alias("start"), (F.col("end_cs") / 100).alias("end"), F.col("word").alias("text"), (F.col("pct") / 100).alias("probability")))).alias("words"))
     rows = segs.join(words, ["job_id", "seg_ix"]).withColumns({"start": F.col("start_cs") / 100, "end": F.col("end_cs") / 100})
-    docs = rows.select("job_id", "seg_ix", F.concat(F.lit("["), documents.segment_json(rows), F.lit("]")).alias("doc"))
-    back = documents.transcripts(docs.select(F.struct("job_id", "seg_ix").alias("job_id"), "doc"), "doc")
+    one = F.array_sort(F.collect_list(F.struct("seg_ix", documents.segment_json(rows).alias("j"))))
+    docs = rows.groupBy("job_id").agg(F.concat(F.lit("["), F.array_join(F.transform(one, lambda x: x["j"]), ","), F.lit("]")).alias("doc"))
+    back = documents.transcripts(docs, "doc")
     cs = lambda c: F.round(F.col(c) * 100).cast("long")
     total = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["probability"])
-    return back.select("job_id.job_id", "job_id.seg_ix", cs("start").alias("start_cs"), cs("end").alias("end_cs"), "text", F.size("words").cast("long").alias("n_words"), F.round(total * 100).cast("long").alias("pct"))
+    return back.select("job_id", "seg_ix", cs("start").alias("start_cs"), cs("end").alias("end_cs"), "text", F.size("words").cast("long").alias("n_words"), F.round(total * 100).cast("long").alias("pct"))
