@@ -145,3 +145,13 @@ def test_frames_of_a_long_job_are_the_same_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(scenes.blocked, "__defaults__", (32,))
     parts = seen()
     assert parts == whole and len(whole[2]) > 20 and len(whole[3]) > 500
+
+
+def test_a_job_too_short_for_a_window_gets_its_one_clip(spark):
+    from tidemark.operators import ranking
+
+    short, _ = told(spark, 1, ["The ferry left early.", "Nobody told the passengers."], 500)
+    long, _ = told(spark, 2, ["We walked along the frozen canal for hours, talking about nothing at all that night."] * 12, 600)
+    got = ranking.best(short.union(long)).collect()
+    assert [(r.start_ix, r.end_ix, r.clip_start, r.clip_end, r.rank) for r in got if r.job_id == 1] == [(0, 1, 0, 1036, 1)]
+    assert [r.rank for r in sorted(got, key=lambda r: r.rank) if r.job_id == 2][:1] == [1] and all(1 <= r.score <= 98 for r in got)

@@ -315,10 +315,12 @@ cand AS (SELECT job_id, start_ix, end_ix, CASE WHEN good THEN score ELSE greates
     for k in range(1, most + 1):
         out += f""", b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, clip_end - clip_start, start_ix, end_ix) AS rn FROM c{k}) WHERE rn = 1),
 c{k + 1} AS (SELECT c.* FROM c{k} c JOIN b{k} b ON b.job_id = c.job_id WHERE NOT (greatest(0, least(c.clip_end, b.clip_end) - greatest(c.clip_start, b.clip_start))::DOUBLE / greatest(100, least(c.clip_end - c.clip_start, b.clip_end - b.clip_start)) > 0.48 OR CASE WHEN least(len(c.sig), len(b.sig)) > 0 THEN len(list_intersect(c.sig, b.sig))::DOUBLE / least(len(c.sig), len(b.sig)) ELSE 0 END > 0.72))"""
-    return out + " " + " UNION ALL ".join(f"SELECT job_id, start_ix, end_ix, clip_start, clip_end, score, {k} AS rank FROM b{k}" for k in range(1, most + 1))
+    short = f"""(SELECT job_id, 0 AS start_ix, CAST(max(seg_ix) AS INTEGER) AS end_ix, arg_min(start_cs, seg_ix) AS start_cs, arg_max(end_cs, seg_ix) AS end_cs, {S.clean("string_agg(text, ' ' ORDER BY seg_ix)")} AS text, arg_min(text, seg_ix) AS start_text, arg_max(text, seg_ix) AS end_text, 1000 AS gap_before, 1000 AS gap_after, (arg_max(end_cs, seg_ix) - arg_min(start_cs, seg_ix)) / 100.0::DOUBLE AS d FROM segments WHERE job_id NOT IN (SELECT job_id FROM c1) GROUP BY job_id)"""
+    out += ", whole AS (WITH " + scored_sql(short) + " SELECT job_id, start_ix, end_ix, greatest(0, start_cs - 12) AS clip_start, end_cs + 16 AS clip_end, score FROM scored)"
+    return out + " " + " UNION ALL ".join(f"SELECT job_id, start_ix, end_ix, clip_start, clip_end, score, {k} AS rank FROM b{k}" for k in range(1, most + 1)) + " UNION ALL SELECT job_id, start_ix, end_ix, clip_start, clip_end, score, 1 FROM whole"
 
 
 @query(_greedy_sql())
 def flagship_best_clips(spark, d):
-    """The best three clips of each job by the segment-window ranker (SCR-1, SCR-2, SEL-1)."""
-    return ranking.greedy(ranking.candidates(bridge.segments(spark, d))).drop("sig")
+    """The best three clips of each job by the segment-window ranker, or its whole transcript where no window fits (SCR-1, SCR-2, SEL-1)."""
+    return ranking.best(bridge.segments(spark, d))
