@@ -193,6 +193,39 @@ def test_compaction_of_nothing(empty, spark):
     assert store.read().count() == 0
 
 
+def test_compaction_of_any_names(docs, spark):
+    """Columns named like Spark's own or with signs, below a root with a blank and a per cent sign."""
+    store = compaction.ShardStore(spark, f"{scratch(spark)}/a store%20 of {random.random()}")
+    odd = docs.withColumnsRenamed({"lang": "_metadata", "source": "a`b", "n_chars": "a.b c"})
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    store.append(odd, shard_rows=2)
+    before = store.manifest().count()
+    version = store.compact()
+    assert version == 2 and store.manifest().count() < before
+    assert store.read().columns == odd.columns and rows(store.read()) == rows(odd) == rows(store.read(1))
+    held = store.read()
+    listed = {(r.file, r.bytes) for r in store.manifest().collect()}
+    assert {tuple(r) for r in held.select(compaction.shard_of(held), compaction.shard_bytes_of(held)).distinct().collect()} == listed
+
+
+def test_compacted_files_have_the_target_size(spark):
+    """One file a run, also where the planner is set to much smaller partitions; and a second pass finds nothing to do."""
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        store = compaction.ShardStore(spark, f"{scratch(spark)}/store-{random.random()}")
+        target = 200_000
+        noise = spark.range(0, 4000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        store.append(noise, shard_rows=100)
+        version = store.compact(target)
+        sizes = [r.bytes for r in store.manifest().where("added = 2").collect()]
+        assert len(sizes) > 1 and max(sizes) <= 1.5 * target and sum(x >= target / 2 for x in sizes) >= len(sizes) - 1
+        assert store.compact(target) == version
+        assert store.read().count() == store.read().select("id").distinct().count() == 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+
+
 def test_compaction_runs_reach_over_ranges(spark):
     """Runs are those of the whole order of a tier, however many ranges it is sorted in."""
     store = compaction.ShardStore(spark, f"{scratch(spark)}/store-runs")

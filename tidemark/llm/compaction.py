@@ -9,13 +9,17 @@ finished marker file that names the manifest (and the columns of the rows) is
 renamed to the version's number. That rename refuses to replace a marker, so of
 two writers of one number only one commits, and no reader sees half a version.
 
-DataFrame functions only; the rows of a run move through one rebalancing
-exchange, which splits a large run and joins small ones. The order of the shards
-is a sort by range with sums carried between ranges, so that no tier meets in
-one task. The names of the files that are read reach the driver, as in every
+DataFrame functions only; the rows of a run move through one exchange by run. A
+run is cut at the target and holds shards of under half of it, so its one file
+has the target's size, or up to half as much again, whatever the session's
+planner is set to. The order of the shards is a sort by range with sums carried
+between ranges, so that no tier meets in one task. A manifest names files
+relative to the root, so a store can lie at a path with any characters and can
+be moved. The names of the files that are read reach the driver, as in every
 read of files. Cases: nulls in any column, repeated rows and very long texts
 pass through unchanged; an empty table makes a version without files that reads
-as no rows of the same columns; columns of any name are kept.
+as no rows of the same columns; columns of any name are kept, `_metadata` and
+names with dots, blanks or backticks included.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +40,17 @@ FAN = 4  # sizes of a tier differ by less than this factor
 MIN_RUN = 4
 SHARD_ROWS = 2000  # rows of an arriving shard at most
 _MANIFEST = "file string, bytes long, tier int, added long"
+_PARTS = r"/(shards/\d+-[0-9a-f]{32}/(?:_run_*=[0-9-]+/)?[^/]+)$"  # a shard's name below the root, of plain characters only
+
+
+def shard_of(rows: DataFrame) -> Column:
+    """The shard that each row was read from, relative to its store's root; no column of the rows hides it."""
+    return F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], _PARTS, 1)
+
+
+def shard_bytes_of(rows: DataFrame) -> Column:
+    """The size of the shard that each row was read from."""
+    return rows.metadataColumn("_metadata")["file_size"]
 
 
 class ShardStore:
@@ -94,7 +109,8 @@ class ShardStore:
 
     def _files(self, folder: str, version: int, schema: T.StructType) -> DataFrame:
         """The files of a folder of shards, by Spark's own metadata of them."""
-        rows = self.spark.read.option("recursiveFileLookup", True).schema(schema).parquet(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        found = self.spark.read.option("recursiveFileLookup", True).schema(schema).parquet(folder)
+        rows = found.select(shard_of(found).alias("file"), shard_bytes_of(found).alias("bytes"))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / SMALL) / F.log(F.lit(float(FAN))))).cast("int")
         return rows.distinct().select("file", "bytes", tier.alias("tier"), F.lit(version).cast("long").alias("added"))
 
@@ -128,7 +144,7 @@ class ShardStore:
         """Merges the runs of this version's shards and commits the result; returns the version then current."""
         now = self.version()
         runs = cut(self.runs(target, min_run), "runs")
-        files = [r.file for r in runs.select("file").collect()]
+        files = [f"{self.root}/{r.file}" for r in runs.select("file").collect()]
         if not files:
             return now
         new, schema = now + 1, self.schema(now)
@@ -136,17 +152,19 @@ class ShardStore:
         names = [f.name.lower() for f in schema]
         run = "_run" + "_" * next(k for k in range(len(names) + 1) if "_run" + "_" * k not in names)
         rows = self.spark.read.schema(schema).parquet(*files)
-        held = rows.select(F.struct(*[F.col(f"`{f.name}`") for f in schema]).alias("_row"), F.col("_metadata.file_path").alias("file")).join(runs, "file")
-        moved = held.select("_row", F.col("run").alias(run)).hint("rebalance", run)
+        columns = [F.col("`{}`".format(f.name.replace("`", "``"))) for f in schema]
+        held = rows.select(F.struct(*columns).alias("_row"), shard_of(rows).alias("file")).join(runs, "file")
+        tasks = 2 * runs.select("run").distinct().count()
+        moved = held.select("_row", F.col("run").alias(run)).repartition(tasks, run)
         moved.select("_row.*", run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
         kept = self.manifest(now).join(runs, "file", "left_anti")
         self.commit(kept.unionByName(self._files(folder, new, schema)), new, schema)
         return new
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, each with _metadata of its shard."""
+        """The rows of a version; shard_of and shard_bytes_of tell each row's shard."""
         schema = self.schema(version)
-        files = [r.file for r in self.manifest(version).select("file").collect()]
+        files = [f"{self.root}/{r.file}" for r in self.manifest(version).select("file").collect()]
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
 
 

@@ -41,8 +41,10 @@ def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.ShardStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
     store.append(table(spark, sf_dir, "documents"))
     version = store.compact()
-    place = F.col("_metadata.file_path")
-    return store.read(version).select("doc_id", F.substring_index(place, "/", -2).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"))
+    rows = store.read(version)
+    if store.manifest(version).isEmpty():
+        return rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(version).alias("version"))
+    return rows.select("doc_id", F.substring_index(compaction.shard_of(rows), "/", -2).alias("shard"), compaction.shard_bytes_of(rows).alias("shard_bytes"), F.lit(version).alias("version"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
