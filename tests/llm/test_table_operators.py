@@ -319,6 +319,64 @@ def test_shared_lines():
     assert len(html_extraction.shared([5, 1, 5, 2, 5], [5, 5, 2])) == 3
 
 
+def test_shared_equals_the_classic_table():
+    """The aligned places are a longest common subsequence, by the quadratic table."""
+    rng = random.Random(12)
+    for _ in range(400):
+        a, b = ([rng.randrange(rng.choice((2, 5, 30))) for _ in range(rng.randrange(14))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = html_extraction.shared(a, b)
+        assert len(got) == best[-1][-1]
+        rest = iter(b)
+        assert all(a[k] in rest for k in sorted(got))
+
+
+def test_html_names():
+    """A name is a role where all its parts are roles or places; parts of other names prove nothing."""
+    role = html_extraction.role_of
+    assert all(role(x) == "drop" for x in ("ad", "ad-slot-3", "siteHeader", "cookie_notice", "post wide comments-list", "promoBox7", "main-nav", "newsletter-signup"))
+    assert all(role(x) == "weak" for x in ("share-price", "search-warrant", "related-work", "notice-board"))
+    assert all(role(x) == "" for x in ("", "lead", "loading", "article-header", "entry-header", "reader", "subheading"))
+    assert role("post no-comments", True) == "weak" and role("comment-12", True) == "drop" and role("share", True) == ""
+    assert html_extraction.lines_of('<div data-id="ad">Text</div>') == (["Text"], [1])
+
+
+def test_html_articles(spark):
+    """Weak names inside an article, titles in its header, heads of its tables stay; readers' posts as articles go."""
+    page = lambda k: f"""<article><header><h1>Title {k}</h1><p>By one</p></header><p class="share-price">Price {k}</p><section class="related-work"><p>Work {k}</p></section>
+<p class="notice-board">Board</p><table><thead class="header"><tr><th>Year</th></tr></thead></table><p>Body <span class="share-price">of</span> {k}</p><article><p>Nested post {k}</p></article></article>
+<article class="user-post"><p>Post {k}</p></article><article class="comment-body"><p>A much longer comment than all the rest of page {k}, and then some more words that go on and on and on</p></article><div class="share-price">Beside {k}</div>"""
+    rows = [(k, f"http://h.example/a/{k:02}", page(k)) for k in range(4)] + [(9, "http://i.example/", page(9)), (10, "http://j.example/", '<article><article><p>Wrapped</p></article></article><p class="share-price">x</p>'), (11, "http://k.example/", '<p class="share-price">Alone</p>')]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(4):
+        assert got[k] == f"Title {k}\nPrice {k}\nWork {k}\nYear\nBody of {k}"
+    assert got[9] == "Title 9\nPrice 9\nWork 9\nBoard\nYear\nBody of 9"
+    assert (got[10], got[11]) == ("Wrapped", "Alone")
+
+
+def test_html_differencing_decides_on_planted_templates(spark):
+    """Sites whose templates carry no telling names: with neighbours every page is right, without them none."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for site in range(6):
+        word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+        top, low, box = word(4), word(6), word(5)
+        for k in range(10):
+            body = [word(12) for _ in range(rng.randrange(2, 6))]
+            head = "<div>" + top + "</div>" if rng.random() < 0.9 else f'<div class="top-strip-x">{top}</div>'
+            prose = "".join(f"<p>{b}</p>" for b in body)
+            shape = (f"{head}<div>{prose}</div><div>{low}</div>", f'{head}<main>{prose}<section class="share-price">{box}</section></main><div>{low}</div>', f'{head}<article>{prose}<div class="related-reads">{box}</div></article><div>{low}</div>')[site % 3]
+            rows.append((site * 100 + k, f"http://s{site}.example/p/{k:02}", f"<html><body>{shape}</body></html>"))
+            want[site * 100 + k] = "\n".join(body)
+    with_ = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    alone = {i: "\n".join(html_extraction.kept(*html_extraction.lines_of(h), set())) for i, _, h in rows}
+    assert with_ == want
+    assert sum(alone[i] == want[i] for i in want) == 0
+
+
 def test_html_differencing(spark):
     site = [(k, f"http://h.example/a/{k:02}", f"<div>Logo text</div><div>Body {k} alone</div><div>All rights</div>") for k in range(9)]
     rows = [*site, (50, "http://other.example/", "<div>Logo text</div><p>Single</p>"), (51, None, None), (52, "x", ""), (53, "http://h.example/z", PAGE), (53, "http://h.example/z", PAGE), (54, "http://c.example/1", "<p>Same</p>"), (55, "http://c.example/2", "<p>Same</p>")]

@@ -3,15 +3,22 @@
 Every page becomes text lines (one per block). Pages are paired with the pages
 before and after them by URL path within their host, their lines are aligned
 by longest common subsequence, and lines that a page shares with a neighbour
-are template lines and deleted. Markup that names its role (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) is deleted whatever the
-neighbours hold. In the paragraphs, headings, quotations and tables of an
-explicit article element a shared line is the article's own wording (a licence
-line, a mirrored article) and stays; elsewhere the differencing decides: in
-unnamed boxes and lists inside an article, in a main element, and for lines
-beside an article. Copies at adjacent URLs count as one place, so that a
-page meets the nearest pages of other content. A neighbour that holds the whole
-page all the same counts as its copy, and says nothing about templates.
+are template lines and deleted. Markup that plainly names its role (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) is deleted
+whatever the neighbours hold: an element of such a role, or a class, id or role
+of which every part is a role's word or says only place, kind or number
+(`site-header`, `ad-slot-3`). A name that holds such a word among others
+(`share-price`, `notice-board`) proves nothing: inside an article, and on pages
+without one, the neighbours decide. They also decide on unnamed boxes and lists
+inside an article, in `main`, on lines beside an article, and on headings in an
+article's own header. In the other paragraphs, headings, quotations and tables
+of an explicit article element a shared line is the article's own wording (a
+licence line, a mirrored article) and stays. Of several articles on a page, the
+one with the most text that the neighbours don't share is the page's; an article
+inside another is a reader's post where the outer one has wording of its own.
+Copies at adjacent URLs count as one place, so that a page meets the nearest
+pages of other content. A neighbour that holds the whole page all the same
+counts as its copy, and says nothing about templates.
 
 Cases: null or empty html gives empty text; a null url pairs among pages
 without host; repeated rows get equal results; a page without neighbours keeps
@@ -22,7 +29,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,19 +46,45 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title".split())
 PROSE = frozenset("article p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption caption table tbody tr td th dl dt dd".split())
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-ROLES = r"\b(ad|ads|advert|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|(?<!article-)(?<!entry-)(?<!post-)(?<!story-)header|footer|sidebar|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|comments?|respond|disqus|related|share|social|widget|pagination|login|search)\b"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TABLE = frozenset("table caption colgroup col thead tbody tfoot tr td th".split())
+ROLES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar cookie cookies consent notice popup modal newsletter subscribe comment comments respond disqus related share social widget pagination login search contentinfo complementary".split())
+COMMENTS = frozenset("comment comments respond disqus".split())
+#: Parts of a name that say only place, kind or number beside a role.
+PLACES = frozenset("site page main top bottom left right inner outer upper lower primary secondary global mobile desktop first last sticky fixed user users reader readers body content section area block box bar list item items link links wrap wrapper container inline row col column panel slot unit strip group holder form button buttons signup article articles post posts story stories entry js is has".split())
+OWN_HEADER = frozenset("article entry post story".split())  # of `article-header`: the text's own
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ROLE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAMED = re.compile(ROLES, re.I)
+_ROLE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=4096)
+def role_of(names: str, comments_only: bool = False) -> str:
+    """What the class, id and role values of an element say: "drop" (a role), "weak" (a role's word among others) or ""."""
+    found = ""
+    for token in names.split():
+        parts = [x.lower() for x in _PART.findall(token)]
+        roles = (COMMENTS if comments_only else ROLES).intersection(parts)
+        if not roles or roles == {"header"} and OWN_HEADER.intersection(parts):
+            continue
+        if all(x in ROLES or x in PLACES for x in parts):
+            return "drop"
+        found = "weak"
+    return found
+
+
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
-    """The page's text lines in order, and the kind of each: 0 marked as no content, 1 plain, 2 wording of an article."""
+    """The page's text lines in order, and the kind of each: 0 marked as no content, 1 plain (the neighbours decide), 2 wording of an article.
+
+    Where several articles of a page have wording, four times the article's number (from 1) is added to its lines' kinds.
+    """
     texts: list[str] = []
     kinds: list[int] = []
-    open_: list[tuple[str, bool, bool]] = []
+    within: list[int] = []  # the innermost open article of each line, 0: none
+    outer: dict[int, int] = {}  # the article around each article
+    open_: list[tuple[str, str, int]] = []
     run: list[str] = []
     page = page or ""
     at = 0
@@ -59,10 +94,17 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
             line = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
             run.clear()
             if line:
-                dropped = any(x[1] for x in open_)
-                texts.append(line)
+                marks = {x[1] for x in open_}
                 block = next((x[0] for x in reversed(open_) if x[0] in BLOCKS), "")
-                kinds.append(0 if dropped else 2 if block in PROSE and any(x[2] for x in open_) else 1)
+                article = next((x[2] for x in reversed(open_) if x[2]), 0)
+                texts.append(line)
+                within.append(article)
+                if "drop" in marks or "head" in marks and block not in HEADINGS:
+                    kinds.append(0)
+                elif "head" in marks or "weak" in marks:
+                    kinds.append(1 if article else -1)
+                else:
+                    kinds.append(2 if article and block in PROSE else 1)
 
     size = len(page)
     while at < size:
@@ -106,12 +148,50 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
             at = end.end() if end else size
             continue
         named = " ".join("".join(x) for x in _ROLE.findall(m[3])) if m[3] else ""
-        bad = name in DROPPED or bool(named and name not in ("html", "body", "article", "main") and _NAMED.search(named))
-        if name in DROPPED or bad:
+        inside = any(x[2] for x in open_)
+        mark = ""
+        if name in DROPPED:
+            mark = "head" if name == "header" and inside and role_of(named) != "drop" else "drop"
+        elif named and name not in ("html", "body", "main") and not (inside and name in TABLE):
+            mark = role_of(named, name == "article")
+            if mark == "weak" and (name == "article" or name not in BLOCKS):
+                mark = ""  # a phrase inside a line isn't parted from it by a weak name
+        if mark:
             flush()
-        open_.append((name, bad, name == "article"))
+        number = 0
+        if name == "article":
+            number = len(outer) + 1
+            outer[number] = next((x[2] for x in reversed(open_) if x[2]), 0)
+        open_.append((name, mark, number))
     flush()
-    return texts, kinds
+    return texts, _settled(kinds, within, outer)
+
+
+def _settled(kinds: list[int], within: list[int], outer: dict[int, int]) -> list[int]:
+    """The kinds with what the whole page says: posts inside an article with wording and weakly named lines beside one go."""
+    worded = {a for kind, a in zip(kinds, within, strict=True) if kind == 2}
+
+    def posted(a: int) -> bool:
+        while a:
+            a = outer[a]
+            if a in worded:
+                return True
+        return False
+
+    gone = {a for a in outer if posted(a)}
+    left = sorted(worded - gone)
+    number = {a: 4 * k for k, a in enumerate(left, 1)} if len(left) > 1 else {}
+    return [0 if not kind or a in gone or kind < 0 and worded else abs(kind) + number.get(a, 0) for kind, a in zip(kinds, within, strict=True)]
+
+
+def kept(texts: list[str], kinds: list[int], template: set[int]) -> list[str]:
+    """The lines that stay: wording, and plain lines that aren't template; of several articles, the one with the most unshared text."""
+    own: dict[int, int] = {}
+    for k, kind in enumerate(kinds):
+        if kind > 4:
+            own[kind // 4] = own.get(kind // 4, 0) + (0 if k in template else len(texts[k]))
+    best = min(own, key=lambda a: (-own[a], a)) if own else 0
+    return [t for k, (t, kind) in enumerate(zip(texts, kinds, strict=True)) if kind // 4 in (0, best) and (kind % 4 == 2 or kind % 4 == 1 and k not in template)]
 
 
 def shared(mine: list[int], other: list[int]) -> set[int]:
@@ -134,8 +214,6 @@ def shared(mine: list[int], other: list[int]) -> set[int]:
         where.setdefault(x, []).append(j)
     ends: list[int] = []
     last: list[tuple] = []
-    from bisect import bisect_left
-
     for k, x in a:
         for j in reversed(where[x]):
             at = bisect_left(ends, j)
@@ -187,8 +265,7 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     same = shared(mine, list(other))
                     if not content or not same.issuperset(content):
                         template |= same
-            keep = [t for k, (t, kind) in enumerate(zip(texts, kinds, strict=True)) if kind == 2 or kind == 1 and k not in template]
-            out.append(("\n".join(keep), len(template)))
+            out.append(("\n".join(kept(texts, list(kinds), template)), len(template)))
         yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": [t for t, _ in out], "n_chars": [len(t) for t, _ in out], "n_shared": [n for _, n in out]})
 
 
