@@ -107,6 +107,35 @@ def test_heavy_beginnings_are_parted(spark):
     assert out.rdd.getNumPartitions() >= 9 and min(out.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) < 100
 
 
+def test_turns_join_only_what_is_still_heavy(spark, monkeypatch):
+    """No turn joins anew what earlier ones have joined, and every text gets the beginning of a plain reading."""
+    rng = random.Random(9)
+    common = "".join(rng.choice("abc") for _ in range(5000))
+    texts = [common[:n] + "".join(rng.choice("abc") for _ in range(40)) for n in (0, 10, 20, 70, 300, 1100, 5000) for _ in range(30)] + [common[:k] for k in (0, 16, 64, 5000)] + [common] * 3
+    joins, cut = [], filter_audit.cut
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df, name)
+
+    monkeypatch.setattr(filter_audit, "cut", counted)
+    df = spark.createDataFrame([(k, k, t.encode(), len(t), t[:16].encode()) for k, t in enumerate(texts)], "key long, doc_id long, text binary, n_bytes long, beginning binary")
+    got = {r.key: bytes(r.beginning).decode() for r in filter_audit.ranged(df, range_bytes=40_000, group_bytes=5_000).select("key", "beginning").collect()}
+    total = sum(map(len, texts))
+    most = min(5_000, total // (4 * max(4, -(-total // 40_000))))
+    want, length, open_ = {}, 16, dict(enumerate(texts))
+    while open_:
+        sums, longest = Counter(), Counter()
+        for t in open_.values():
+            sums[t[:length]] += len(t)
+            longest[t[:length]] = max(longest[t[:length]], len(t))
+        heavy = {b for b in sums if sums[b] > most and longest[b] > length}
+        want |= {k: t[:length] for k, t in open_.items() if t[:length] not in heavy}
+        open_, length = {k: t for k, t in open_.items() if t[:length] in heavy}, 4 * length
+    assert got == want and len(set(map(len, want.values()))) > 5
+    assert len(joins) > 5 and max(joins) == 1
+
+
 # URL filters
 
 URLS = ["http://a.example.net/en/1?x=1#t", "https://NET/en", "http://x.net", "http://example.net/en/", "http://evilexample.net/en/q", "https://b.example.com/de/5.html", "http://example.com/den", "http://org/fr/", "https://WWW.Wiki.Org/fr/Ä", "no scheme/net/", "://net/en/", "http://q?u=://net/", "http://a.net:80/x", "ftp://u@b.example.net/en/z", "", None, "http://b.com/en/" + "long" * 9000, "http://é.org/fr/\n/x", "http://com/a\nb#c"]

@@ -195,6 +195,11 @@ def _least(trie_bytes: int):
     return run
 
 
+def _at(terminals: DataFrame, length: int) -> DataFrame:
+    """The terminals with beginnings of this many bytes."""
+    return terminals.withColumn("beginning", F.substring("text", 1, length))
+
+
 def ranged(terminals: DataFrame, range_bytes: int = RANGE_BYTES, group_bytes: int = GROUP_BYTES, first: int = FIRST) -> DataFrame:
     """terminals(key, doc_id, text, n_bytes, beginning) in ranges of their beginnings, sorted; equal texts in one range, next to each other's kin.
 
@@ -206,14 +211,26 @@ def ranged(terminals: DataFrame, range_bytes: int = RANGE_BYTES, group_bytes: in
     total = terminals.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(partitions(terminals.sparkSession), -(-total // range_bytes))
     group_bytes = max(min(group_bytes, total // (4 * n)), total // MOST_HEAVY)
-    x = terminals.withColumn("_open", F.lit(True))
-    length = first
+    # A longer beginning is counted only where the shorter one is heavy, and read off the text each time: no turn joins what an earlier one has joined.
+    open_, found, length = terminals, [], first
     while True:
-        heavy = cut(x.where("_open").groupBy("beginning").agg(F.sum("n_bytes").alias("_sum"), F.max("n_bytes").alias("_longest")).where(f"_sum > {group_bytes} and _longest > {length}").select("beginning", F.lit(True).alias("_heavy")), "heavy")
+        heavy = cut(open_.groupBy("beginning").agg(F.sum("n_bytes").alias("_sum"), F.max("n_bytes").alias("_longest")).where(f"_sum > {group_bytes} and _longest > {length}").select(F.col("beginning").alias("_heavy")), "heavy")
         if heavy.isEmpty():
             break
+        found.append(heavy)
+        open_ = _at(terminals, length).join(F.broadcast(heavy), F.col("beginning") == F.col("_heavy"), "left_semi")
+        length *= STEP
+        open_ = _at(open_, length)
+    # the rows of each length: those with a heavy beginning before it and none of it
+    x, open_, length = None, terminals, first
+    for heavy in found:
+        same = F.col("beginning") == F.col("_heavy")
+        closed = open_.join(F.broadcast(heavy), same, "left_anti")
+        x = closed if x is None else x.union(closed)
+        open_ = _at(terminals, length).join(F.broadcast(heavy), same, "left_semi")
         length *= STEP
-        x = x.join(F.broadcast(heavy), "beginning", "left").withColumn("_open", F.coalesce("_heavy", F.lit(False))).withColumn("beginning", F.when(F.col("_open"), F.substring("text", 1, length)).otherwise(F.col("beginning"))).drop("_heavy")
+        open_ = _at(open_, length)
+    x = open_ if x is None else x.union(open_)
     return x.select("key", "doc_id", "text", "beginning").repartitionByRange(n, "beginning").sortWithinPartitions("beginning")
 
 
