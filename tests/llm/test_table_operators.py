@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,6 +406,26 @@ def test_html_differencing_decides_beside_articles(spark):
         assert got[100 + k] == ("Same" if 2 <= k < 57 else str(k))
 
 
+def test_stages_hand_python_few_rows_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def counted(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    def largest():
+        return max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(counted, "n long").collect())
+
+    before, none = spark.conf.get(key), spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    try:
+        for start, most in (("10000", 256), ("0", 256), ("100", 100)):
+            spark.conf.set(key, start)
+            corpus_pipeline.STAGES[2][1](spark, none, "").count()
+            assert largest() == most
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pipeline(docs, labels, spark):
     path = f"{scratch(spark)}/pipeline-test"
     docs.write.parquet(f"{path}/documents.parquet")

@@ -38,6 +38,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+#: Rows in a batch that Spark sends to Python after small_batches.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on, Spark hands the session's Python tasks few rows at once: texts and sets of shingles wait outside the heap
+    and again in the Python worker. A smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 #: A joined table of up to this many rows is broadcast; beyond it, each of its keys goes to SALTS places.
 BROADCAST_ROWS, SALTS = 200_000, 16
 
