@@ -60,6 +60,19 @@ def test_ids_follow_the_tokenizer():
         assert fast(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
+def test_a_text_of_rare_words_is_encoded_at_once():
+    ids, texts_ = packing.Ids(byte_bpe()), []
+
+    class Counted:
+        def encode_ordinary(self, text, fast=ids.fast):
+            texts_.append(text)
+            return fast.encode_ordinary(text)
+
+    ids.fast = Counted()
+    text = " ".join(f"rare{k}word" for k in range(50))
+    assert len(ids(text)) > 4 * 50 and texts_ == [text]
+
+
 def test_quality_rules_base(docs, empty):
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
