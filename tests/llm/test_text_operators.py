@@ -1,12 +1,15 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import lm_scoring, packing, quality_rules, simhash, suffix_dedup
 from tidemark.llm.queries import byte_bpe
 
@@ -158,6 +161,50 @@ def test_suffix_dedup_equals_brute_force(docs, empty):
     assert suffix_dedup.strip(docs).count() == len(rows)
 
 
+def test_repeated_words_equal_brute_force(docs, empty, spark):
+    """Passages of 50 to 56 short words, all under 400 bytes, between other white space in every document; 49 words stay."""
+    rng = random.Random(11)
+
+    def other(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    def planted(passage, k):
+        words = [*other(rng.randint(0, 150)), *passage, *other(rng.randint(0, 150))]
+        return (rng.choice(["", " ", "\n"]) + "".join(w + rng.choice([" ", " ", "\n", "\t ", "  "]) for w in words)).rstrip(rng.choice(["", "\n "]))
+
+    rows = [(1000 + 10 * n + k, planted(passage, k)) for n, passage in enumerate(other(m) for m in (49, 50, 51, 55, 56, 60)) for k in range(2 + n)]
+    rows += [(2000, " ".join(other(50) * 2)), (2001, "né " * 60), (2002, "né\n" * 49), (2003, " ".join(["w"] * 50)), (2004, "\n" + "\t".join(["w"] * 50) + "\n"), (2005, " \n"), (2006, "Z" * 500), (2007, "Z" * 500)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    held = [(r.doc_id, r.text, (r.text or "").encode()) for r in every.collect()]
+    spans = {t: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for _, _, t in held}
+    seen = Counter(t[k : k + 400] for _, _, t in held for k in range(len(t) - 399))
+    runs = Counter(tuple(t[a:b] for a, b in spans[t][k : k + 50]) for _, _, t in held for k in range(len(spans[t]) - 49))
+    want, short = Counter(), set()
+    for i, text, t in held:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if seen[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        by_bytes = gone.copy()
+        for k in range(len(spans[t]) - 49):
+            if runs[tuple(t[a:b] for a, b in spans[t][k : k + 50])] > 1:
+                gone[spans[t][k][0] : spans[t][k + 49][1]] = True
+        if gone.any() and not by_bytes.any():
+            short.add(i)
+        edges = [0, *np.flatnonzero(np.diff(gone.view(np.int8))) + 1, len(t)]
+        want[i, None if text is None else "".join(t[a:b].decode(errors="ignore") for a, b in zip(edges, edges[1:]) if b > a and not gone[a])] += 1
+    both = (suffix_dedup.BYTES, suffix_dedup.WORDS)
+    got = suffix_dedup.strip(every, both)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert {1010, 1011, 1020, 1052, 2000, 2003, 2004} <= short and not {1000, 1001, 2002, 2006} & short
+    assert suffix_dedup.strip(empty, both).count() == 0
+
+    chars = every.withColumn("n_chars", F.length("text"))
+    kept = {r.doc_id: r for r in corpus_pipeline.repeats(spark, chars, "").collect()}
+    assert {1010, 1011, 1020, 1052} <= set(kept) and not {401, 2003, 2004, 2005, 2006} & set(kept)
+    assert all((i, kept[i].text) in want and kept[i].n_chars == len(kept[i].text) for i in range(1000, 1056) if i in kept)
+
+
 def test_simhash_equals_brute_force(docs, empty, spark):
     import xxhash
 

@@ -1,6 +1,10 @@
-"""Exact repeats of WINDOW bytes by a depth-limited radix sort of suffixes.
+"""Exact repeats of 400 bytes, or of 50 words, by a depth-limited radix sort of suffixes.
 
-Only the first WINDOW bytes of a suffix matter, so suffixes are ordered by
+A text is a row of bytes, and where asked for a row of words `[^\x20\x09-\x0D]+` too
+(whatever white space stands between them): a unit is a kind of row, with a window of
+its own. What is said of bytes below holds for the words of that unit alike.
+
+Only the first window bytes of a suffix matter, so suffixes are ordered by
 most-significant-digit passes that stop there: equal groups are exactly the
 repeated windows. Passes run over nodes, runs of neighbouring window starts
 that are ordered together: a node's core (the bytes that all its windows
@@ -11,14 +15,15 @@ reads. After each pass
 - what is left, one node for each different hull of a repeated core, is split
   into shorter runs with longer cores for the next pass, down to single starts.
 
-The first nodes hang on content: in every WINDOW bytes, the rightmost smallest
-hash of GRAM bytes is the window's anchor, so that equal windows are compared
+The first nodes hang on content: in every window, the rightmost smallest
+hash of a gram of few bytes is the window's anchor, so that equal windows are compared
 at equal anchors and no others are. Of nodes with one hull a single one goes
 on, counting twice. Groups are counted with partial aggregation
 and never gathered, so that a passage that a third of all rows share is a
 number like any other. Keys are 64-bit hashes.
 
-Cases: null text is empty; texts shorter than WINDOW keep every byte; a text
+Cases: null text is empty; texts shorter than a window keep every byte; the white
+space before and after a removed run of words stays; a text
 with a copy is removed from its first to its last byte; repeated rows are
 copies; null ids are documents like others; empty tables give none. Texts are
 read whole; columns other than doc_id and text are ignored.
@@ -27,7 +32,8 @@ read whole; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,24 +42,37 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, slices
 
-WINDOW = 400
-GRAM = 17
-SPAN = WINDOW - GRAM + 1  # grams in a window: 384
-#: Starts in a node of each pass: 2 x 192, 12 x 16, 16 x 1.
-WIDTHS = (192, 16, 1)
+
+class Unit(NamedTuple):
+    window: int
+    gram: int
+    #: Starts in a node of each pass; the grams in a window are twice the first.
+    widths: tuple[int, int, int]
+    #: Bytes that a text with a window has at least.
+    least: int
+
+    @property
+    def span(self) -> int:
+        return self.window - self.gram + 1
+
+
+BYTES, WORDS = 0, 1
+#: Bytes: 2 x 192, 12 x 16, 16 x 1 starts. Words: 2 x 24, 6 x 4, 4 x 1.
+UNITS = (Unit(400, 17, (192, 16, 1), 400), Unit(50, 3, (24, 4, 1), 99))
 #: Bytes of text that a task hashes at once (a longer text is hashed alone).
 CHUNK = 500_000
 
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _PLACE = np.uint64((1 << 40) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8").astype(np.uint64)
 
 
 class Hashes:
-    """64-bit hashes of any range of a byte string, position-free."""
+    """64-bit hashes of any range of a row of values, position-free."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data)
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
         with np.errstate(over="ignore"):
             power = np.full(n + 1, np.uint64(_BASE))
             power[0] = 1
@@ -62,7 +81,7 @@ class Hashes:
             inverse[0] = 1
             self.inverse = np.multiply.accumulate(inverse)
             self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLE[data] * power[:n], out=self.sums[1:])
+            np.cumsum(values * power[:n], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -75,30 +94,51 @@ class Hashes:
             return h
 
 
-def anchors(h: Hashes, n: int) -> np.ndarray:
-    """For each start of a window in n bytes, the place of the rightmost smallest gram of the window."""
-    grams = np.arange(n - GRAM + 1)
+def words(data: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end; the texts stand in data one after the other, from lo on, and none is empty."""
+    solid = ~_SPACE[data]
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1]
+    end[:-1] &= ~solid[1:]
+    begin[lo] = solid[lo]
+    end[lo[1:] - 1] = solid[lo[1:] - 1]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def _one(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of one text begin and end."""
+    return words(np.frombuffer(text, np.uint8), np.zeros(min(1, len(text)), np.int64))
+
+
+def hashes(unit: int, text: bytes) -> Hashes:
+    h = Hashes(_TABLE[np.frombuffer(text, np.uint8)])
+    return h if unit == BYTES else Hashes(h.of(*_one(text)))
+
+
+def anchors(u: Unit, h: Hashes, n: int) -> np.ndarray:
+    """For each start of a window in n bytes or words, the place of the rightmost smallest gram of the window."""
+    grams = np.arange(n - u.gram + 1)
     # 24 bits of hash above 40 bits of place: one comparison finds the smallest hash and, of equal ones, the rightmost
-    key = h.of(grams, grams + GRAM) & ~_PLACE | (_PLACE - grams.astype(np.uint64))
-    blocks = -(-len(key) // SPAN)
-    full = np.full(blocks * SPAN, np.uint64(2**64 - 1))
+    key = h.of(grams, grams + u.gram) & ~_PLACE | (_PLACE - grams.astype(np.uint64))
+    blocks = -(-len(key) // u.span)
+    full = np.full(blocks * u.span, np.uint64(2**64 - 1))
     full[: len(key)] = key
-    rows = full.reshape(blocks, SPAN)
+    rows = full.reshape(blocks, u.span)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - WINDOW + 1
-    least = np.minimum(behind[:starts], ahead[SPAN - 1 : SPAN - 1 + starts])
+    starts = n - u.window + 1
+    least = np.minimum(behind[:starts], ahead[u.span - 1 : u.span - 1 + starts])
     return (_PLACE - (least & _PLACE)).astype(np.int64)
 
 
-def node_keys(h: Hashes, first: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def node_keys(u: Unit, h: Hashes, first: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Core and hull of nodes whose windows start at first .. first + width - 1, in texts from lo to hi."""
-    core = h.of(first + width - 1, first + WINDOW)
+    core = h.of(first + width - 1, first + u.window)
     if width == 1:
         return core.view(np.int64), core.view(np.int64)
-    begin, end = np.maximum(first, lo), np.minimum(first + width - 1 + WINDOW, hi)
+    begin, end = np.maximum(first, lo), np.minimum(first + width - 1 + u.window, hi)
     with np.errstate(over="ignore"):
-        hull = h.of(begin, end) ^ ((begin - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) ^ ((first + width - 1 + WINDOW - end).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        hull = h.of(begin, end) ^ ((begin - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) ^ ((first + width - 1 + u.window - end).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return core.view(np.int64), hull.view(np.int64)
 
 
@@ -114,57 +154,77 @@ def _chunks(texts: list[bytes]) -> Iterator[list[int]]:
         yield now
 
 
-_NODES = "core long, hull long, tid long, place int, first int, last int, parent int, weight int"
-_NAMES = ["core", "hull", "tid", "place", "first", "last", "parent", "weight"]
-_TYPES = [pa.int64()] * 3 + [pa.int32()] * 5
+_NODES = "core long, hull long, tid long, place int, first int, last int, parent int, weight int, unit int"
+_NAMES = ["core", "hull", "tid", "place", "first", "last", "parent", "weight", "unit"]
+_TYPES = [pa.int64()] * 3 + [pa.int32()] * 6
 
 
 def _batch(columns: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, _TYPES, strict=True)]
 
 
-def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of the first pass: place is the first start of the node, first and last the starts whose anchor it hangs on."""
-    for b in slices(batches):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        tids = b.column("tid").to_numpy()
-        for chunk in _chunks(texts):
-            chunk = [i for i in chunk if len(texts[i]) >= WINDOW]
-            if not chunk:
-                continue
-            data = np.frombuffer(b"".join(texts[i] for i in chunk), np.uint8)
-            h = Hashes(data)
-            size = np.array([len(texts[i]) for i in chunk])
-            hi = np.cumsum(size)
-            lo = hi - size
-            at = anchors(h, len(data))
-            doc = np.repeat(np.arange(len(chunk)), size)[: len(at)]
-            s = np.flatnonzero(np.arange(len(at)) + WINDOW <= hi[doc])
-            at, doc = at[s], doc[s]
-            new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
-            begin, end, place, doc = s[new], s[np.concatenate((new[1:], [len(s)])) - 1], at[new], doc[new]
-            own = tids[np.array(chunk)]
-            for half in (0, 1):  # starts place - 191 .. place, then place - 383 .. place - 192
-                first = place - WIDTHS[0] * (half + 1) + 1
-                f, g = np.maximum(begin, first), np.minimum(end, first + WIDTHS[0] - 1)
-                k = np.flatnonzero(f <= g)
-                d = doc[k]
-                core, hull = node_keys(h, first[k], WIDTHS[0], lo[d], hi[d])
-                yield pa.RecordBatch.from_arrays(_batch([core, hull, own[d], first[k] - lo[d], f[k] - lo[d], g[k] - lo[d], first[k] - lo[d], np.ones(len(k))]), _NAMES)
-
-
-def _children(h: Hashes, shift: int, lo: int, hi: int, nodes: list[tuple], width: int, parent: int) -> list[tuple]:
-    """The nodes of the next pass below nodes (tid, place, first, last, weight); h holds the text from shift on."""
-    rows = []
+def _first(unit: int, h: Hashes, lo: np.ndarray, hi: np.ndarray, tids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Nodes of the first pass of texts that stand in one row from lo to hi: place is the first start of the node, first and last the starts whose anchor it hangs on."""
+    u = UNITS[unit]
+    if not len(hi) or hi[-1] < u.window:
+        return
+    at = anchors(u, h, hi[-1])
+    doc = np.repeat(np.arange(len(lo)), hi - lo)[: len(at)]
+    s = np.flatnonzero(np.arange(len(at)) + u.window <= hi[doc])
+    if not len(s):
+        return
+    at, doc = at[s], doc[s]
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
+    begin, end, place, doc = s[new], s[np.concatenate((new[1:], [len(s)])) - 1], at[new], doc[new]
+    width = u.widths[0]
+    for half in (0, 1):  # of bytes: starts place - 191 .. place, then place - 383 .. place - 192
+        first = place - width * (half + 1) + 1
+        f, g = np.maximum(begin, first), np.minimum(end, first + width - 1)
+        k = np.flatnonzero(f <= g)
+        d = doc[k]
+        core, hull = node_keys(u, h, first[k], width, lo[d], hi[d])
+        yield pa.RecordBatch.from_arrays(_batch([core, hull, tids[d], first[k] - lo[d], f[k] - lo[d], g[k] - lo[d], first[k] - lo[d], np.ones(len(k)), np.full(len(k), unit)]), _NAMES)
+
+
+def _first_nodes(units: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    least = min(UNITS[k].least for k in units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            tids = b.column("tid").to_numpy()
+            for chunk in _chunks(texts):
+                chunk = [i for i in chunk if len(texts[i]) >= least]
+                if not chunk:
+                    continue
+                data = np.frombuffer(b"".join(texts[i] for i in chunk), np.uint8)
+                h = Hashes(_TABLE[data])
+                size = np.array([len(texts[i]) for i in chunk])
+                hi = np.cumsum(size)
+                lo = hi - size
+                own = tids[np.array(chunk)]
+                if BYTES in units:
+                    yield from _first(BYTES, h, lo, hi, own)
+                if WORDS in units:
+                    begin, end = words(data, lo)
+                    yield from _first(WORDS, Hashes(h.of(begin, end)), np.searchsorted(begin, lo), np.searchsorted(begin, hi), own)
+
+    return run
+
+
+def _children(unit: int, h: Hashes, shift: int, n: int, nodes: list[tuple], level: int) -> list[tuple]:
+    """The nodes of the next pass below nodes (tid, place, first, last, weight) of a level; h holds the text, of n bytes or words in all, from shift on."""
+    u, rows = UNITS[unit], []
+    parent, width = u.widths[level], u.widths[level + 1]
     for tid, place, first, last, weight in nodes:
         for at in range(place, place + parent, width):
             f, g = max(first, at), min(last, at + width - 1)
             if f <= g:
-                rows.append((tid, at, f, g, place, weight))
+                rows.append((tid, at, f, g, place, weight, unit))
     if not rows:
         return []
     at = np.array([r[1] for r in rows]) - shift
-    core, hull = node_keys(h, at, width, np.full(len(at), lo - shift), np.full(len(at), hi - shift))
+    core, hull = node_keys(u, h, at, width, np.full(len(at), -shift), np.full(len(at), n - shift))
     return [(c, u, *r) for c, u, r in zip(core.tolist(), hull.tolist(), rows, strict=True)]
 
 
@@ -179,40 +239,50 @@ def _second_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in slices(batches, 16):
         for row in b.to_pylist():
             text = zstandard.decompress(row["packed"])
-            n = len(text)
-            h = Hashes(np.frombuffer(text, np.uint8))
-            nodes = [(row["tid"], x["place"], x["first"], x["last"], x["weight"]) for x in row["nodes"]]
-            rows = _children(h, 0, 0, n, nodes, WIDTHS[1], WIDTHS[0])
-            reads = [(0, 0, row["tid"], x["place"], max(0, x["place"]), n, x["place"], 0) for x in row["nodes"]]
-            held = [text[max(0, x["place"]) : x["place"] + WIDTHS[0] - 1 + WINDOW] for x in row["nodes"]]
+            rows, reads, held = [], [], []
+            for unit, u in enumerate(UNITS):
+                of = [x for x in row["nodes"] if x["unit"] == unit]
+                if not of:
+                    continue
+                begin, end = _one(text) if unit == WORDS else (None, None)
+                n = len(text) if begin is None else len(begin)
+                rows += _children(unit, hashes(unit, text), 0, n, [(row["tid"], x["place"], x["first"], x["last"], x["weight"]) for x in of], 0)
+                for x in of:
+                    a, z = max(0, x["place"]), min(n, x["place"] + u.widths[0] - 1 + u.window)
+                    reads.append((0, 0, row["tid"], x["place"], a, n, x["place"], 0, unit))
+                    held.append(text[a:z] if begin is None else text[begin[a] : end[z - 1]])
             yield pa.RecordBatch.from_arrays([*_rows(rows + reads), pa.array([None] * len(rows) + held, pa.binary())], [*_NAMES, "bytes"])
 
 
 def _third_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single starts below nodes of the second pass; bytes holds the text from `shift` on, which has n bytes in all."""
+    """Single starts below nodes of the second pass; bytes holds the text from `shift` on, which has n bytes or words in all."""
     for b in slices(batches):
         rows = []
         for x in b.to_pylist():
-            h = Hashes(np.frombuffer(x["bytes"], np.uint8))
-            rows += _children(h, x["shift"], 0, x["n"], [(x["tid"], x["place"], x["first"], x["last"], x["weight"])], WIDTHS[2], WIDTHS[1])
+            h = hashes(x["unit"], x["bytes"])
+            rows += _children(x["unit"], h, x["shift"], x["n"], [(x["tid"], x["place"], x["first"], x["last"], x["weight"])], 1)
         yield pa.RecordBatch.from_arrays(_rows(rows), _NAMES)
 
 
 def _resolve(nodes: DataFrame, name: str, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(tid, place) of the nodes whose windows all repeat, and the nodes to split."""
+    """(unit, tid, place) of the nodes whose windows all repeat, and the nodes to split."""
     twice = cut(nodes.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core"), f"{name}-cores")
     live = cut(nodes.join(twice, "core", "left_semi"), f"{name}-live")
     if last:
-        return live.select("tid", "place"), None
-    hulls = cut(live.groupBy("core", "hull").agg(F.sum("weight").alias("m"), F.min(F.struct("tid", "place", "first", "last", "parent")).alias("one")), f"{name}-hulls")
-    marks = live.join(hulls.where("m > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("tid", "place")
+        return live.select("unit", "tid", "place"), None
+    hulls = cut(live.groupBy("core", "hull").agg(F.sum("weight").alias("m"), F.min(F.struct("tid", "place", "first", "last", "parent", "unit")).alias("one")), f"{name}-hulls")
+    marks = live.join(hulls.where("m > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("unit", "tid", "place")
     several = cut(hulls.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), f"{name}-several")
     split = hulls.join(several, "core", "left_semi").select("one.*", F.least("m", F.lit(2)).cast("int").alias("weight"))
     return marks, split
 
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """(tid, spans): per text the runs (begin, end) of window starts that repeat, for texts(tid, text)."""
+def repeats(texts: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
+    """(tid, spans): per text the runs (unit, begin, end) of window starts that repeat, for texts(tid, text)."""
+
+    def runs(marks: DataFrame, level: int) -> DataFrame:
+        width = F.when(F.col("unit") == WORDS, UNITS[WORDS].widths[level]).otherwise(UNITS[BYTES].widths[level])
+        return marks.distinct().select("unit", "tid", F.col("place").alias("begin"), (F.col("place") + width - 1).alias("end"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -221,29 +291,35 @@ def repeats(texts: DataFrame) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], ["tid", "packed"])
 
-    first = cut(texts.mapInArrow(_first_nodes, _NODES), "nodes")
+    first = cut(texts.mapInArrow(_first_nodes(units), _NODES), "nodes")
     marks, split = _resolve(first, "first")
-    found = [cut(marks.distinct().select("tid", F.col("place").alias("begin"), (F.col("place") + WIDTHS[0] - 1).alias("end")), "marks")]
-    todo = cut(split.groupBy("tid").agg(F.collect_list(F.struct("place", "first", "last", "weight")).alias("nodes")), "todo")
+    found = [cut(runs(marks, 0), "marks")]
+    todo = cut(split.groupBy("tid").agg(F.collect_list(F.struct("unit", "place", "first", "last", "weight")).alias("nodes")), "todo")
     one = texts.mapInArrow(packed, "tid long, packed binary").groupBy("tid").agg(F.first("packed").alias("packed"))
     second = cut(one.join(todo, "tid").mapInArrow(_second_nodes, _NODES + ", bytes binary"), "second")
     marks, split = _resolve(second.where("bytes is null").drop("bytes"), "second")
-    found.append(cut(marks.distinct().select("tid", F.col("place").alias("begin"), (F.col("place") + WIDTHS[1] - 1).alias("end")), "marks"))
-    held = second.where("bytes is not null").select("tid", F.col("place").alias("parent"), F.col("first").alias("shift"), F.col("last").alias("n"), "bytes")
-    third = cut(cut(split, "split").join(held, ["tid", "parent"]).mapInArrow(_third_nodes, _NODES), "third")
+    found.append(cut(runs(marks, 1), "marks"))
+    held = second.where("bytes is not null").select("unit", "tid", F.col("place").alias("parent"), F.col("first").alias("shift"), F.col("last").alias("n"), "bytes")
+    third = cut(cut(split, "split").join(held, ["unit", "tid", "parent"]).mapInArrow(_third_nodes, _NODES), "third")
     marks, _ = _resolve(third, "third", last=True)
-    found.append(marks.distinct().select("tid", F.col("place").alias("begin"), F.col("place").alias("end")))
+    found.append(runs(marks, 2))
     every = found[0].union(found[1]).union(found[2])
-    return cut(every.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
+    return cut(every.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("unit", "begin", "end"))).alias("spans")), "spans")
 
 
 def removed(text: bytes, spans: list | None) -> list[tuple[int, int]]:
     """The byte runs to remove, merged, from the runs of repeated window starts."""
-    out: list[tuple[int, int]] = []
+    runs, begin, end = [], None, None
     for x in spans or ():
-        a, b = max(0, x["begin"]), min(x["end"], len(text) - WINDOW) + WINDOW
-        if b - a < WINDOW:
-            continue
+        u = UNITS[x["unit"]]
+        if x["unit"] == WORDS and begin is None:
+            begin, end = _one(text)
+        n = len(begin) if x["unit"] == WORDS else len(text)
+        a, b = max(0, x["begin"]), min(x["end"], n - u.window) + u.window
+        if b - a >= u.window:
+            runs.append((int(begin[a]), int(end[b - 1])) if x["unit"] == WORDS else (a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -251,10 +327,10 @@ def removed(text: bytes, spans: list | None) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
     """docs with spans, from their text column; a column of that name, or named tid, is replaced."""
     keyed = docs.drop("spans", "tid").withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(repeats(keyed.select("tid", "text")), "tid", "left").drop("tid")
+    return keyed.join(repeats(keyed.select("tid", "text"), units), "tid", "left").drop("tid")
 
 
 def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +367,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return packed.join(spans, "tid", "left").select("doc_id", "packed", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean")
 
 
-def strip(docs: DataFrame) -> DataFrame:
-    """docs without the repeated bytes of their texts; what a cut leaves of a character at its edge goes too."""
+def strip(docs: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
+    """docs without the repeated bytes and, where asked for, words of their texts; what a cut leaves of a character at its edge goes too."""
     names = docs.columns
-    held = with_spans(docs)
+    held = with_spans(docs, units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
