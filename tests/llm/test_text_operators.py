@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lm_scoring, packing, quality_rules, simhash, suffix_dedup
+from tidemark.llm import lm_scoring, packing, quality_rules, queries, simhash, suffix_dedup
 from tidemark.llm.queries import byte_bpe
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -205,6 +205,37 @@ def test_repeated_words_equal_brute_force(docs, empty, spark):
     assert all((i, kept[i].text) in want and kept[i].n_chars == len(kept[i].text) for i in range(1000, 1056) if i in kept)
 
 
+def test_op4_tells_passages_of_words_below_400_bytes(docs, spark, tmp_path):
+    """op4 counts passages of 50 words apart from the bytes: its 400-byte columns stay those of brute force."""
+    rng = random.Random(17)
+
+    def other(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n)]
+
+    passages = {n: other(n) for n in (49, 50, 51, 56)}
+    rows = [(1000 + 10 * n + k, rng.choice([" ", "\n", "\t"]).join([*other(rng.randint(0, 90)), *p, *other(rng.randint(0, 90))])) for n, p in passages.items() for k in range(3)]
+    docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    split = {t: re.findall(rb"[^\x20\x09-\x0D]+", t) for _, t in held}
+    seen = Counter(t[k : k + 400] for _, t in held for k in range(len(t) - 399))
+    runs = Counter(tuple(split[t][k : k + 50]) for _, t in held for k in range(len(split[t]) - 49))
+    want = Counter()
+    for i, t in held:
+        gone, again = np.zeros(len(t), bool), np.zeros(len(split[t]), bool)
+        for k in range(len(t) - 399):
+            if seen[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        for k in range(len(again) - 49):
+            if runs[tuple(split[t][k : k + 50])] > 1:
+                again[k : k + 50] = True
+        spans = int((np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum())
+        want[i, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest(), bool(gone.any()), int(again.sum()), bool(again.any())] += 1
+    got = queries.op4_suffix_dedup(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in got) == want
+    told = {r.doc_id: r for r in got}
+    assert all(told[1000 + 10 * n + k].n_passage_words == (n if n >= 50 else 0) and not told[1000 + 10 * n + k].has_repeats for n in passages for k in range(3))
+
+
 def test_simhash_equals_brute_force(docs, empty, spark):
     import xxhash
 

@@ -110,11 +110,6 @@ def _one(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return words(np.frombuffer(text, np.uint8), np.zeros(min(1, len(text)), np.int64))
 
 
-def hashes(unit: int, text: bytes) -> Hashes:
-    h = Hashes(_TABLE[np.frombuffer(text, np.uint8)])
-    return h if unit == BYTES else Hashes(h.of(*_one(text)))
-
-
 def anchors(u: Unit, h: Hashes, n: int) -> np.ndarray:
     """For each start of a window in n bytes or words, the place of the rightmost smallest gram of the window."""
     grams = np.arange(n - u.gram + 1)
@@ -212,56 +207,77 @@ def _first_nodes(units: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _children(unit: int, h: Hashes, shift: int, n: int, nodes: list[tuple], level: int) -> list[tuple]:
-    """The nodes of the next pass below nodes (tid, place, first, last, weight) of a level; h holds the text, of n bytes or words in all, from shift on."""
-    u, rows = UNITS[unit], []
+class _Rows:
+    """Texts of a unit's rows, hashed in one go: row k stands from lo[k] to hi[k]."""
+
+    def __init__(self, unit: int, texts: list[bytes]) -> None:
+        self.text = b"".join(texts)
+        data = np.frombuffer(self.text, np.uint8)
+        self.hi = np.cumsum([len(t) for t in texts])
+        self.lo = np.concatenate(([0], self.hi[:-1]))
+        self.h, self.begin, self.end = Hashes(_TABLE[data]), None, None
+        if unit == WORDS:
+            self.begin, self.end = words(data, self.lo)
+            self.h, self.lo, self.hi = Hashes(self.h.of(self.begin, self.end)), np.searchsorted(self.begin, self.lo), np.searchsorted(self.begin, self.hi)
+
+    def between(self, a: int, z: int) -> bytes:
+        return self.text[a:z] if self.begin is None else self.text[self.begin[a] : self.end[z - 1]]
+
+
+def _children(unit: int, level: int, h: Hashes, nodes: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Columns of the nodes of the next pass below nodes (tid, place, first, last, weight) of a level, whose texts lie in h from lo to hi."""
+    u, (tid, place, first, last, weight) = UNITS[unit], nodes
     parent, width = u.widths[level], u.widths[level + 1]
-    for tid, place, first, last, weight in nodes:
-        for at in range(place, place + parent, width):
-            f, g = max(first, at), min(last, at + width - 1)
-            if f <= g:
-                rows.append((tid, at, f, g, place, weight, unit))
-    if not rows:
-        return []
-    at = np.array([r[1] for r in rows]) - shift
-    core, hull = node_keys(u, h, at, width, np.full(len(at), -shift), np.full(len(at), n - shift))
-    return [(c, u, *r) for c, u, r in zip(core.tolist(), hull.tolist(), rows, strict=True)]
+    at = (place[:, None] + np.arange(0, parent, width)).ravel()
+    of = np.repeat(np.arange(len(place)), parent // width)
+    f, g = np.maximum(first[of], at), np.minimum(last[of], at + width - 1)
+    k = np.flatnonzero(f <= g)
+    of, at, f, g = of[k], at[k], f[k], g[k]
+    core, hull = node_keys(u, h, at + lo[of], width, lo[of], hi[of])
+    return [core, hull, tid[of], at, f, g, place[of], weight[of], np.full(len(k), unit)]
 
 
-def _rows(rows: list[tuple], *more: pa.Array) -> list[pa.Array]:
-    return [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(_TYPES), _TYPES, strict=True)]
+def _ints(columns: list[pa.Array]) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
 
 
 def _second_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text with nodes to split: the shorter nodes, and for each split node a row with the bytes that its windows read."""
+    """Of texts with nodes to split: the shorter nodes, and for each split node a row with the bytes that its windows read."""
     import zstandard
 
-    for b in slices(batches, 16):
-        for row in b.to_pylist():
-            text = zstandard.decompress(row["packed"])
-            rows, reads, held = [], [], []
+    for b in slices(batches, 64):
+        texts = [zstandard.decompress(x) for x in b.column("packed").to_pylist()]
+        tids, lists = b.column("tid").to_numpy(), b.column("nodes")
+        row = np.repeat(np.arange(len(texts)), _ints([lists.value_lengths()])[0])
+        units, place, first, last, weight = _ints(lists.flatten().flatten())
+        for chunk in _chunks(texts):
             for unit, u in enumerate(UNITS):
-                of = [x for x in row["nodes"] if x["unit"] == unit]
-                if not of:
+                k = np.flatnonzero((row >= chunk[0]) & (row <= chunk[-1]) & (units == unit))
+                if not len(k):
                     continue
-                begin, end = _one(text) if unit == WORDS else (None, None)
-                n = len(text) if begin is None else len(begin)
-                rows += _children(unit, hashes(unit, text), 0, n, [(row["tid"], x["place"], x["first"], x["last"], x["weight"]) for x in of], 0)
-                for x in of:
-                    a, z = max(0, x["place"]), min(n, x["place"] + u.widths[0] - 1 + u.window)
-                    reads.append((0, 0, row["tid"], x["place"], a, n, x["place"], 0, unit))
-                    held.append(text[a:z] if begin is None else text[begin[a] : end[z - 1]])
-            yield pa.RecordBatch.from_arrays([*_rows(rows + reads), pa.array([None] * len(rows) + held, pa.binary())], [*_NAMES, "bytes"])
+                of, own = np.unique(row[k], return_inverse=True)
+                x = _Rows(unit, [texts[i] for i in of])
+                lo, hi, tid = x.lo[own], x.hi[own], tids[row[k]]
+                rows = _children(unit, 0, x.h, [tid, place[k], first[k], last[k], weight[k]], lo, hi)
+                yield pa.RecordBatch.from_arrays([*_batch(rows), pa.nulls(len(rows[0]), pa.binary())], [*_NAMES, "bytes"])
+                a, z, none = np.maximum(0, place[k]), np.minimum(hi - lo, place[k] + u.widths[0] - 1 + u.window), np.zeros(len(k))
+                held = pa.array([x.between(i, j) for i, j in zip((lo + a).tolist(), (lo + z).tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*_batch([none, none, tid, place[k], a, hi - lo, place[k], none, none + unit]), held], [*_NAMES, "bytes"])
 
 
 def _third_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Single starts below nodes of the second pass; bytes holds the text from `shift` on, which has n bytes or words in all."""
     for b in slices(batches):
-        rows = []
-        for x in b.to_pylist():
-            h = hashes(x["unit"], x["bytes"])
-            rows += _children(x["unit"], h, x["shift"], x["n"], [(x["tid"], x["place"], x["first"], x["last"], x["weight"])], 1)
-        yield pa.RecordBatch.from_arrays(_rows(rows), _NAMES)
+        texts = b.column("bytes").to_pylist()
+        units, tid, place, first, last, weight, shift, n = _ints([b.column(c) for c in ("unit", "tid", "place", "first", "last", "weight", "shift", "n")])
+        for chunk in _chunks(texts):
+            for unit in (BYTES, WORDS):
+                k = np.array([i for i in chunk if units[i] == unit], np.int64)
+                if not len(k):
+                    continue
+                x = _Rows(unit, [texts[i] for i in k])
+                zero = x.lo - shift[k]
+                yield pa.RecordBatch.from_arrays(_batch(_children(unit, 1, x.h, [c[k] for c in (tid, place, first, last, weight)], zero, zero + n[k])), _NAMES)
 
 
 def _resolve(nodes: DataFrame, name: str, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -307,17 +323,7 @@ def repeats(texts: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
     return cut(every.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("unit", "begin", "end"))).alias("spans")), "spans")
 
 
-def removed(text: bytes, spans: list | None) -> list[tuple[int, int]]:
-    """The byte runs to remove, merged, from the runs of repeated window starts."""
-    runs, begin, end = [], None, None
-    for x in spans or ():
-        u = UNITS[x["unit"]]
-        if x["unit"] == WORDS and begin is None:
-            begin, end = _one(text)
-        n = len(begin) if x["unit"] == WORDS else len(text)
-        a, b = max(0, x["begin"]), min(x["end"], n - u.window) + u.window
-        if b - a >= u.window:
-            runs.append((int(begin[a]), int(end[b - 1])) if x["unit"] == WORDS else (a, b))
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
         if out and a <= out[-1][1]:
@@ -327,6 +333,40 @@ def removed(text: bytes, spans: list | None) -> list[tuple[int, int]]:
     return out
 
 
+def _spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
+    """Per text the (unit, begin, end) of its spans; none where spans is null."""
+    every = list(zip(*(c.tolist() for c in _ints(column.flatten().flatten())), strict=True))
+    ends = np.cumsum(_ints([column.value_lengths().fill_null(0)])[0]).tolist()
+    return [every[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _runs(unit: int, n: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The runs of bytes or words that a unit's repeated windows cover, in a text of n bytes or words."""
+    window, runs = UNITS[unit].window, []
+    for k, begin, end in spans:
+        if k == unit:
+            a, b = max(0, begin), min(end, n - window) + window
+            if b - a >= window:
+                runs.append((a, b))
+    return runs
+
+
+def removed(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The byte runs to remove, merged, from the runs of repeated window starts."""
+    runs = _runs(BYTES, len(text), spans)
+    if any(x[0] == WORDS for x in spans):
+        begin, end = _one(text)
+        runs += [(int(begin[a]), int(end[b - 1])) for a, b in _runs(WORDS, len(begin), spans)]
+    return _merged(runs)
+
+
+def passage_words(text: bytes, spans: list[tuple[int, int, int]]) -> int:
+    """How many words of a text lie in passages of words that stand anywhere else."""
+    if not any(x[0] == WORDS for x in spans):
+        return 0
+    return sum(b - a for a, b in _merged(_runs(WORDS, len(text.split()), spans)))
+
+
 def with_spans(docs: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
     """docs with spans, from their text column; a column of that name, or named tid, is replaced."""
     keyed = docs.drop("spans", "tid").withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -341,30 +381,38 @@ def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "tid", "packed"])
 
 
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, n_passage_words long, has_passages boolean"
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     for b in slices(batches):
         rows = []
-        for packed, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for packed, spans in zip(b.column("packed").to_pylist(), _spans(b.column("spans")), strict=True):
             text = zstandard.decompress(packed)
-            runs = removed(text, spans)
+            runs, again = _merged(_runs(BYTES, len(text), spans)), passage_words(text, spans)
             h, at = hashlib.sha256(), 0
             for x, y in runs:
                 h.update(text[at:x])
                 at = y
             h.update(text[at:])
-            rows.append((len(text), sum(y - x for x, y in runs), len(runs), h.hexdigest(), bool(runs)))
-        n, gone, k, sha, hit = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(hit, pa.bool_())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"])
+            rows.append((len(text), sum(y - x for x, y in runs), len(runs), h.hexdigest(), bool(runs), again, again > 0))
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [x.split()[0] for x in _DIGEST.split(", ")])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats) for each row of docs(doc_id, text); has_repeats: whether bytes are removed."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, n_passage_words, has_passages) for each row of docs(doc_id, text).
+
+    The first five and has_repeats, whether bytes are removed, know strings of 400 bytes only. n_passage_words counts the words in
+    passages of 50 words or more that stand anywhere else, whatever their bytes; has_passages: whether there are any.
+    """
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
-    spans = repeats(keyed.select("tid", "text"))
+    spans = repeats(keyed.select("tid", "text"), (BYTES, WORDS))
     packed = keyed.mapInArrow(_pack_text, "doc_id long, tid long, packed binary")
-    return packed.join(spans, "tid", "left").select("doc_id", "packed", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean")
+    return packed.join(spans, "tid", "left").select("doc_id", "packed", "spans").mapInArrow(_digest, _DIGEST)
 
 
 def strip(docs: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
@@ -375,7 +423,7 @@ def strip(docs: DataFrame, units: tuple[int, ...] = (BYTES,)) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), _spans(b.column("spans")), strict=True):
                 if text is not None and spans:
                     t, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
                     for x, y in removed(t, spans):
