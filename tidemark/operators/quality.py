@@ -17,16 +17,25 @@ def repeats(words: DataFrame) -> DataFrame:
     return same.select("job_id", reduce(lambda a, b: a + b, hits).alias("h")).groupBy("job_id").agg(F.count("*").alias("n_tokens"), F.sum("h").cast("long").alias("repeated"))
 
 
-def quality(segs: DataFrame, words: DataFrame) -> DataFrame:
-    """One row of quality measures for each job of segs(job_id, seg_ix, text); words carry pct, a probability in hundredths."""
+def sums(segs: DataFrame, words: DataFrame) -> DataFrame:
+    """(job_id, segment_count, n, s, n48, n25, weak, weakest) for each job of segs: what quality's measures are made of.
+
+    n words with probabilities whose sum is s hundredths, n48 and n25 of them below 0.48 and 0.25; weak long segments and
+    the least mean of a long segment.
+    """
     live = segs.where("trim(text) <> ''").select("job_id", "seg_ix")
     w = live.join(words, ["job_id", "seg_ix"], "left").withColumn("tok", F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}_']+", "")) != "")
     by_seg = w.groupBy("job_id", "seg_ix").agg(F.count("pct").alias("n"), F.sum("pct").alias("s"), F.count_if(F.col("pct") < 38).alias("n38"), F.count_if(F.col("pct") < 48).alias("n48"), F.count_if(F.col("pct") < 25).alias("n25"), F.count_if("tok").alias("toks"))
     long = (F.col("n") > 0) & (F.col("toks") >= 3)
     mean = F.col("s") / F.col("n") / 100
     weak = long & ((mean < 0.56) | (F.col("n38") / F.col("n") > 0.28))
-    x = by_seg.groupBy("job_id").agg(F.count("*").alias("segment_count"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("n48").alias("n48"), F.sum("n25").alias("n25"), F.count_if(weak).alias("weak"), F.min(F.when(long, mean)).alias("weakest"))
-    x = x.join(repeats(words.join(live, ["job_id", "seg_ix"], "left_semi")), "job_id", "left")
+    return by_seg.groupBy("job_id").agg(F.count("*").alias("segment_count"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("n48").alias("n48"), F.sum("n25").alias("n25"), F.count_if(weak).alias("weak"), F.min(F.when(long, mean)).alias("weakest"))
+
+
+def quality(segs: DataFrame, words: DataFrame) -> DataFrame:
+    """One row of quality measures for each job of segs(job_id, seg_ix, text); words carry pct, a probability in hundredths."""
+    live = segs.where("trim(text) <> ''").select("job_id", "seg_ix")
+    x = sums(segs, words).join(repeats(words.join(live, ["job_id", "seg_ix"], "left_semi")), "job_id", "left")
     share = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
     x = x.withColumns({"avg_p": F.when(F.col("n") > 0, F.col("s") / F.col("n") / 100).otherwise(0.74), "low": share("n48"), "very": share("n25"), "rep": F.coalesce("repeated", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("n_tokens", F.lit(0)))})
     score = F.col("avg_p") * 100 - F.col("low") * 24 - F.col("very") * 26 - F.least(F.lit(18.0), F.col("rep") * 120) - F.least(F.lit(12.0), F.col("weak") * 2.5)

@@ -87,9 +87,16 @@ def contexts(segs):
 @query(S.BRIDGE + r""", t AS (SELECT w.job_id, w.seg_ix, word_ix, pct, lower(regexp_replace(word, '[^\p{L}\p{N}_'']+', '', 'g')) AS tok FROM words w), g AS (SELECT job_id, seg_ix, count(*) AS n, sum(pct) AS s, count(*) FILTER (pct < 38) AS n38, count(*) FILTER (pct < 48) AS n48, count(*) FILTER (pct < 25) AS n25, count(*) FILTER (tok <> '') AS toks FROM t GROUP BY ALL),
 j AS (SELECT job_id, count(*) AS segment_count, sum(n) AS n, sum(s) AS s, sum(n48) AS n48, sum(n25) AS n25, count(*) FILTER (toks >= 3 AND (s / n / 100 < 0.56 OR n38 / n > 0.28)) AS weak, min(CASE WHEN toks >= 3 THEN s / n / 100 END) AS weakest FROM g GROUP BY job_id) SELECT job_id, CAST(weak AS BIGINT) AS weak_segments, segment_count, CAST(round(10000 * n48 / n) AS BIGINT) AS low_bp, CAST(round(10000 * n25 / n) AS BIGINT) AS very_bp, CAST(round(100 * s / n) AS BIGINT) AS avg_bp, CAST(round(10000 * coalesce(weakest, s / n / 100)) AS BIGINT) AS weakest_bp FROM j""")
 def agg1_quality(spark, d):
+    """Shares of unlikely words and mean probabilities of each job, in hundredths of a percent, each rounded once (AGG-1)."""
     segs = bridge.segments(spark, d)
-    bp = lambda c: F.round(F.col(c) * 10000).cast("long")
-    return quality.quality(segs, bridge.words(segs)).select("job_id", "weak_segments", "segment_count", bp("low").alias("low_bp"), bp("very").alias("very_bp"), bp("avg_p").alias("avg_bp"), bp("weakest").alias("weakest_bp"))
+    return quality_bp(quality.sums(segs, bridge.words(segs)))
+
+
+def quality_bp(x: DataFrame) -> DataFrame:
+    """quality.sums as whole numbers. Quotients of whole numbers are rounded, so that a half stays one; jobs have words here."""
+    bp = lambda c: F.round(c).cast("long")
+    weakest = F.coalesce("weakest", F.col("s") / F.col("n") / 100)
+    return x.select("job_id", F.col("weak").alias("weak_segments"), "segment_count", bp(F.col("n48") * 10000 / F.col("n")).alias("low_bp"), bp(F.col("n25") * 10000 / F.col("n")).alias("very_bp"), bp(F.col("s") * 100 / F.col("n")).alias("avg_bp"), bp(weakest * 10000).alias("weakest_bp"))
 
 
 @query(S.CLIPS + "SELECT c.job_id, clip_ix, count(*) AS n, CASE WHEN count(*) >= 4 THEN sum(pct) END AS total FROM clips c JOIN words w ON w.job_id = c.job_id AND w.end_cs > lo AND w.start_cs < hi GROUP BY ALL")
