@@ -99,9 +99,21 @@ def chunk_seconds(duration: Column, found: Column, most: int = 1200) -> Column:
     return F.when(duration >= 2700, F.least(base, F.when(found["name"] == "low-memory", 120).when(found["name"] == "balanced", 180).otherwise(300))).otherwise(base)
 
 
+def _in_units(c: Column, bits: int, places: int) -> Column:
+    """A long over 2 ** bits with so many decimals, exact ties to the even digit (Java's formats round them up)."""
+    ten, mask, half = 10**places, (1 << bits) - 1, 1 << (bits - 1)
+    part = c.bitwiseAND(F.lit(mask)) * ten
+    digits, rest = F.shiftright(part, bits), part.bitwiseAND(F.lit(mask))
+    up = (rest > half) | (rest == half) & (digits % 2 == 1)
+    digits = digits + up.cast("long")
+    return F.format_string(f"%d.%0{places}d", F.shiftright(c, bits) + (digits == ten).cast("long"), digits % ten)
+
+
 def human_bytes(c: Column) -> Column:
-    """KB in whole numbers (1 at least), MB with one decimal, GB with two."""
-    return F.when(c < 1 << 20, F.format_string("%d KB", F.greatest(F.lit(1), F.floor(c / 1024 + 0.5)))).when(c < 1 << 30, F.format_string("%.1f MB", c / (1 << 20))).otherwise(F.format_string("%.2f GB", c / (1 << 30)))
+    """KB in whole numbers (1 at least), MB with one decimal, GB with two; null: null."""
+    n = c.cast("double").cast("long")
+    kb = F.format_string("%d KB", F.greatest(F.lit(1), F.floor(c / 1024 + 0.5)))
+    return F.when(c < 1 << 20, kb).when(c < 1 << 30, F.concat(_in_units(n, 20, 1), F.lit(" MB"))).when(c >= 1 << 30, F.concat(_in_units(n, 30, 2), F.lit(" GB")))
 
 
 def clock(seconds: Column) -> Column:
