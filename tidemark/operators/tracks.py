@@ -51,13 +51,16 @@ def smooth(points: DataFrame, key: str, step: float = 0.08, alpha: float = 0.5)
 
 
 def simplify(points: DataFrame, key: str, most: int = 72) -> DataFrame:
-    """(key, t, c): each track as at most `most` points of a Ramer-Douglas-Peucker simplification, ends kept."""
+    """(key, t, c): each track as at most `most` points of a Ramer-Douglas-Peucker simplification, ends kept.
+
+    Points less than half a millisecond before the next are left out, and so are points without a time. Tracks of at most
+    `most` points are whole then and stay in columns; only longer ones go to Python, a track at a time.
+    """
+    from pyspark.sql import Window
 
     def one(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("t", kind="stable")
         t, c = x["t"].to_numpy(float), x["c"].to_numpy(float)
-        last = [i for i in range(len(t)) if i + 1 == len(t) or t[i + 1] - t[i] >= 0.0005]
-        t, c = t[last], c[last]
         kept, tolerance = list(range(len(t))), 0.004
         while len(kept) > most and tolerance < 0.08 * 1.45:
             kept, todo = [0, len(t) - 1], [(0, len(t) - 1)]
@@ -77,7 +80,11 @@ def simplify(points: DataFrame, key: str, most: int = 72) -> DataFrame:
         return pd.DataFrame({key: x[key].iloc[0], "t": t[kept], "c": c[kept]})
 
     kind = dict(points.dtypes)[key]
-    return points.select(key, "t", "c").groupBy(key).applyInPandas(one, f"{key} {kind}, t double, c double")
+    by = Window.partitionBy(key)
+    x = points.where("t is not null").select(key, F.col("t").cast("double").alias("t"), F.col("c").cast("double").alias("c"))
+    x = x.withColumn("_near", F.lead("t").over(by.orderBy("t", "c")) - F.col("t") < 0.0005).where("_near is null or not _near").drop("_near").withColumn("_n", F.count("*").over(by))
+    short, long = x.where(F.col("_n") <= most).drop("_n"), x.where(F.col("_n") > most).drop("_n")
+    return short.unionByName(long.groupBy(key).applyInPandas(one, f"{key} {kind}, t double, c double"))
 
 
 def speech_active(samples: DataFrame, speech: DataFrame, key: str, slack_cs: int = 12) -> DataFrame:
