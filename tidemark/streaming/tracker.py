@@ -14,7 +14,9 @@ from tidemark.operators import speakers as R
 
 OUT = "clip_id long, at timestamp, target double, camera double, follows string, switched boolean"
 _STATE = R.STATE.replace(" int", " long") + ", begun boolean"
-_WAITS = f"at timestamp, cut boolean, speech boolean, motion double, faces array<{R.FACE}>"
+_FACE = ("center", "area", "left", "right", "activity")
+#: A sample that waits: its time in microseconds, and the numbers of its faces one after another.
+_WAITS = "us long, cut boolean, speech boolean, motion double, faces array<double>"
 
 
 def advance(s: dict[str, Any], x: dict[str, Any]) -> tuple[float, str, bool]:
@@ -63,7 +65,11 @@ def advance(s: dict[str, Any], x: dict[str, Any]) -> tuple[float, str, bool]:
 
 
 class Tracker(StatefulProcessor):
-    """Holds a clip's samples until the watermark has passed them, follows them in order, and forgets a clip after a while."""
+    """Holds a clip's samples until the watermark has passed them, follows them in order, and forgets a clip after a while.
+
+    Calls of the state cost more than the work on a sample, so a clip's samples of a batch are put away in one call, under
+    one timer at the earliest of them, and all that the watermark has passed by then is followed at once.
+    """
 
     def __init__(self, forget_ms: int) -> None:
         self.forget_ms = forget_ms
@@ -74,45 +80,51 @@ class Tracker(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITS)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        """Samples wait, with a timer at each one's time: by then all earlier ones are there."""
+        """Samples wait for the watermark: by then all earlier ones are there."""
+        came = []
         for df in rows:
-            for at, cut, speech, motion, faces in df[["at", "cut", "speech", "motion", "faces"]].itertuples(index=False):
-                found = [] if faces is None else [tuple(f[c] for c in ("center", "area", "left", "right", "activity")) for f in faces]
-                self.waiting.appendValue((at.to_pydatetime(), bool(cut), bool(speech), None if pd.isna(motion) else float(motion), found))
-                self.handle.registerTimer(_ms(at))
+            for us, cut, speech, motion, faces in zip(*(df[c].tolist() for c in ("us", "cut", "speech", "motion", "faces")), strict=True):
+                found = [] if faces is None else [f[c] for f in faces for c in _FACE]
+                came.append((us, bool(cut), bool(speech), None if pd.isna(motion) else motion, found))
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(_ms(min(x[0] for x in came)))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         names = [c.split()[0] for c in _STATE.split(", ")]
         kept, due = [], []
-        for *x, faces in self.waiting.get():
-            x = (*x, [tuple(f) for f in faces or ()])  # nested rows come back as generators
-            (due if _ms(x[0]) <= now else kept).append(x)
-        s = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else {"active": None, "pending": None, "pending_n": 0, "since_active": R.LONG_AGO, "since_face": R.LONG_AGO, "previous": None, "camera": R.MIDDLE, "begun": False}
+        for x in self.waiting.get():
+            (due if x[0] <= passed else kept).append(x)
         if not due:
             if not kept and not any(True for _ in self.handle.listTimers()):  # the last one: nothing came for a while
                 self.state.clear()
             return
+        found = self.state.get()
+        s = dict(zip(names, found, strict=True)) if found is not None else {"active": None, "pending": None, "pending_n": 0, "since_active": R.LONG_AGO, "since_face": R.LONG_AGO, "previous": None, "camera": R.MIDDLE, "begun": False}
+        due.sort(key=lambda x: x[0])
         out = []
-        for at, cut, speech, motion, faces in sorted(due, key=lambda x: x[0]):
-            found = [dict(zip(("center", "area", "left", "right", "activity"), f, strict=True)) for f in faces]
-            target, follows, switched = advance(s, {"cut": cut, "speech": speech, "motion": motion, "faces": found})
-            out.append((key[0], at, target, s["camera"], follows, switched))
+        for us, cut, speech, motion, flat in due:
+            faces = [dict(zip(_FACE, flat[i : i + len(_FACE)], strict=True)) for i in range(0, len(flat), len(_FACE))]
+            target, follows, switched = advance(s, {"cut": cut, "speech": speech, "motion": motion, "faces": faces})
+            out.append((key[0], us, target, s["camera"], follows, switched))
         self.state.update(tuple(s[c] for c in names))
         if kept:
             self.waiting.put(kept)
+            self.handle.registerTimer(_ms(min(x[0] for x in kept)))
         else:
             self.waiting.clear()
         self.handle.registerTimer(_ms(due[-1][0]) + self.forget_ms)
-        yield pd.DataFrame(out, columns=["clip_id", "at", "target", "camera", "follows", "switched"])
+        yield pd.DataFrame(out, columns=["clip_id", "us", "target", "camera", "follows", "switched"])
 
     def close(self) -> None:
         pass
 
 
-def _ms(at: Any) -> int:
-    return round(pd.Timestamp(at).timestamp() * 1000)
+def _ms(us: int) -> int:
+    """The first millisecond that is not before a time in microseconds."""
+    return -(-us // 1000)
 
 
 def followed(samples: DataFrame, late: str = "1 hour", forget_ms: int = 24 * 3600 * 1000) -> DataFrame:
@@ -122,8 +134,9 @@ def followed(samples: DataFrame, late: str = "1 hour", forget_ms: int = 24 * 360
     however the samples are spread over batches; what is more than `late` behind is dropped. State is one row a clip
     and the samples that wait; a clip without samples for forget_ms is forgotten. Needs the RocksDB state store.
     """
-    x = samples.withWatermark("at", late)
-    return x.groupBy("clip_id").transformWithStateInPandas(Tracker(forget_ms), OUT, "Append", "EventTime")
+    x = samples.withWatermark("at", late).select("clip_id", "at", F.unix_micros("at").alias("us"), "cut", "speech", "motion", "faces")
+    out = x.groupBy("clip_id").transformWithStateInPandas(Tracker(forget_ms), OUT.replace("at timestamp", "us long"), "Append", "EventTime")
+    return out.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "at")
 
 
 def batch(samples: DataFrame) -> DataFrame:
