@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lx
+from tidemark.functions.text import let
 
 
 def _folded(words: DataFrame, group: list[str], n_max, c_max, d_max, pause) -> DataFrame:
@@ -49,8 +50,10 @@ def phrases(words: DataFrame, group: list[str], style: str = "viral") -> DataFra
 def phrase_lists(words: DataFrame, group: list[str]) -> DataFrame:
     """(group, phrases) with each clip's phrases as arrays of words, by the limits max_words, max_chars, max_cs and pause_cs in group."""
     x = _folded(words, group, F.col("max_words"), F.col("max_chars"), F.col("max_cs"), F.col("pause_cs"))
-    of = lambda p: F.transform(F.filter(F.arrays_zip("w", "k"), lambda z: z["k"] == p), lambda z: z["w"])
-    return x.select(*group, F.transform(F.sequence(F.lit(0), F.array_max("k")), of).alias("phrases"))
+    of = lambda z, p: F.transform(F.filter(z, lambda y: y["k"] == p), lambda y: y["w"])
+    # named once: inside the function of a phrase it would be worked out for every phrase anew
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.element_at(z, -1)["k"]), lambda p: of(z, p))
+    return x.select(*group, let(F.arrays_zip("w", "k"), cut).alias("phrases"))
 
 
 def rebalanced(phrases, max_words, max_chars):
@@ -59,6 +62,10 @@ def rebalanced(phrases, max_words, max_chars):
     From the first phrase on, a weak last word moves to the next phrase where it fits; what moves counts for the next
     step. A last phrase of one or two words joins the one before it, with a little more room than a phrase has else.
     """
+    return let(phrases, lambda p: _rebalanced(p, max_words, max_chars))
+
+
+def _rebalanced(phrases, max_words, max_chars):
     none, text = F.slice(phrases, F.lit(1), F.lit(0)), lambda ws: joined(F.transform(ws, lambda w: w["word"]))
     weak = lambda w: F.lower(F.regexp_replace(w["word"], "[^A-Za-z']", "")).isin(*lx.WEAK_EDGES)
 
