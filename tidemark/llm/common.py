@@ -63,16 +63,25 @@ def checked_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: str
     return rows.withColumn("_salt", salt).join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"]).drop("_salt")
 
 
+def unsent(small: DataFrame, most: int | None) -> DataFrame:
+    """small, a written table, for a join: one of over `most` rows is shuffled and never broadcast (None: as the planner likes).
+
+    The planner goes by the bytes of the compressed files, so a table of ids with a row for each row of the corpus may pass
+    for a small one; the driver would then hold it whole as a hash table.
+    """
+    return small if most is None or small.count() <= most else small.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, most: int | None = None) -> DataFrame:
     """(id, component): for every id of edges (a long, b long), the smallest id that it reaches.
 
     Alternates large-star and small-star steps until the set of edges stays the
     same, each step an aggregation and a join on ids; the edges of a step are a
-    written table. Ids without an edge are not returned. No edges: no rows.
+    written table. Tables of over `most` rows are not broadcast (unsent). Ids without an edge are not returned. No edges: no rows.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
@@ -80,11 +89,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every neighbour that is larger than the node links to the node's smallest neighbour
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(unsent(least, most), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(large.where("a <> b").distinct(), "edges")
         # small star: a node's smaller neighbours, and the node, link to the smallest of them
         least = cut(e.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = e.join(unsent(least, most), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         e = cut(small.where("a <> b").distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:

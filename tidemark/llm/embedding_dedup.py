@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, unsent
 
 COSINE = 0.93
 FLOOR = 0.8
@@ -46,6 +46,8 @@ BLOCK = 256
 ROUNDS = 4
 AUDIT = 256
 RECALL = 0.97
+#: Tables of more rows than this, which grow with the vectors, are not broadcast.
+SENT_ROWS = 20_000
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -54,6 +56,11 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _large(nodes: DataFrame) -> DataFrame:
+    """nodes for a join in which neither side is broadcast: the other one has a row for each of them, or more."""
+    return nodes.hint("merge")
+
+
 def _codes(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -124,11 +131,11 @@ def leaves(nodes: DataFrame, seed: int) -> DataFrame:
     """A first graph: nodes that fall into one leaf of a random hyperplane tree."""
     sizes = nodes.groupBy("label").agg(F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.count("*") / LEAF)))).cast("int").alias("depth"))
     codes = nodes.mapInArrow(_codes(seed), "id long, codes array<int>")
-    placed = nodes.select("id", "label").join(codes, "id").join(sizes, "label").select("id", "label", "depth", F.posexplode("codes").alias("tree", "code"))
+    placed = _large(nodes.select("id", "label")).join(codes, "id").join(sizes, "label").select("id", "label", "depth", F.posexplode("codes").alias("tree", "code"))
     placed = cut(placed.select("id", "label", "tree", F.expr("code >> (24 - depth)").alias("leaf")), "placed")
     full = cut(placed.groupBy("label", "tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts")), "full")
-    split = placed.join(full, ["label", "tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), "parts"))
-    return _grouped(cut(split, "split").join(nodes.select("id", "embedding", "comp"), "id"), "label", "tree", "leaf", "part")
+    split = placed.join(unsent(full, SENT_ROWS), ["label", "tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), "parts"))
+    return _grouped(cut(split, "split").join(_large(nodes.select("id", "embedding", "comp")), "id"), "label", "tree", "leaf", "part")
 
 
 def descend(nodes: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
@@ -136,8 +143,8 @@ def descend(nodes: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
     both = graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(graph.select("a", F.col("a").alias("b"))).distinct()
     both = cut(both, "both")
     parts = cut(both.groupBy("a").agg(F.ceil(F.count("*") / (4 * K)).alias("parts")), "parts")
-    dealt = both.join(parts, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b", F.lit(turn)), "parts").alias("part"))
-    return _grouped(cut(dealt, "dealt").join(nodes.select("id", "embedding", "comp"), "id"), "a", "part")
+    dealt = both.join(unsent(parts, SENT_ROWS), "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b", F.lit(turn)), "parts").alias("part"))
+    return _grouped(cut(dealt, "dealt").join(_large(nodes.select("id", "embedding", "comp")), "id"), "a", "part")
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +172,9 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def count_links(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, links): rows of other nodes that each member of parts(id, component) links with, its component compared in blocks."""
     sizes = cut(parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    blocks = cut(parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "blocks")
+    blocks = cut(parts.join(unsent(sizes, SENT_ROWS), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "blocks")
     pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = pairs.join(nodes.select("id", "embedding", "n"), "id")
+    rows = pairs.join(_large(nodes.select("id", "embedding", "n")), "id")
     found = rows.groupBy("component", "i", "j").agg(F.collect_list(F.struct("id", "block", "n", "embedding")).alias("members")).select("i", "j", "members").mapInArrow(_count_blocks, "id long, links long")
     return found.groupBy("id").agg(F.sum("links").alias("links"))
 
@@ -175,7 +182,7 @@ def count_links(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 def audit(nodes: DataFrame, links: DataFrame) -> float:
     """Share of the links of AUDIT nodes of all and AUDIT nodes with links, found by brute force against all nodes, that links(id, links) has; the lower of the two."""
     first = lambda x: x.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "embedding").toArrow().to_pylist()
-    whole, linked = first(nodes), first(nodes.join(links.where("links > 0").select("id"), "id", "left_semi"))
+    whole, linked = first(nodes), first(_large(nodes).join(links.where("links > 0").select("id"), "id", "left_semi"))
     sample = list({s["id"]: s for s in whole + linked}.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +202,7 @@ def audit(nodes: DataFrame, links: DataFrame) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "true"])
 
     true = nodes.select("id", "label", "embedding", "n").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    got = {r["id"]: r for r in true.join(links, "id", "left").select("id", "true", F.least("true", F.coalesce("links", F.lit(0))).alias("found")).collect()}
+    got = {r["id"]: r for r in true.join(unsent(links, SENT_ROWS), "id", "left").select("id", "true", F.least("true", F.coalesce("links", F.lit(0))).alias("found")).collect()}
     shares = []
     for part in (whole, linked):
         mine = [got[s["id"]] for s in part]
@@ -206,13 +213,13 @@ def audit(nodes: DataFrame, links: DataFrame) -> float:
 
 def search(nodes: DataFrame, graph: DataFrame | None, linked: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """One search from new trees: (graph, linked, parts, saturated). linked(a, b) has all pairs at the threshold that were compared and told."""
-    parts = None if linked is None else cut(components(linked).select("id", F.col("component").alias("comp")), "parts")
+    parts = None if linked is None else cut(components(linked, most=SENT_ROWS).select("id", F.col("component").alias("comp")), "parts")
     if parts is None:
         nodes = nodes.withColumn("comp", F.col("id"))
     else:
-        nodes = cut(nodes.join(parts, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed-nodes")
+        nodes = cut(nodes.join(unsent(parts, SENT_ROWS), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed-nodes")
     if graph is not None:  # which neighbours are inside by now
-        comps = lambda end: nodes.select(F.col("id").alias(end), F.col("comp").alias(f"_{end}"))
+        comps = lambda end: _large(nodes).select(F.col("id").alias(end), F.col("comp").alias(f"_{end}"))
         graph = graph.drop("own").join(comps("a"), "a").join(comps("b"), "b").select("a", "b", "cosine", (F.col("_a") == F.col("_b")).alias("own"))
     tables = [] if linked is None else [linked]
     before = 0.0
@@ -230,7 +237,7 @@ def search(nodes: DataFrame, graph: DataFrame | None, linked: DataFrame | None,
     for t in tables[1:]:
         every = every.union(t)
     linked = cut(every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "linked")
-    parts = cut(components(linked), "parts")
+    parts = cut(components(linked, most=SENT_ROWS), "parts")
     return graph, linked, parts, saturated
 
 
@@ -253,10 +260,10 @@ def near_duplicates(vectors: DataFrame, tries: int = 12) -> DataFrame:
             break
     else:
         raise RuntimeError(f"near_duplicates: recall {recall:.3f} of {RECALL} after {seed} searches")
-    named = nodes.select("id", "n", "least").join(parts, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = nodes.select("id", "n", "least").join(unsent(parts, SENT_ROWS), "id", "left").join(unsent(links, SENT_ROWS), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = cut(named, "named")
     smallest = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    classes = named.join(smallest, "component").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    classes = cut(nodes.select("id", "label", "embedding").join(classes, "id").drop("id"), "classes")
-    out = rows.join(classes, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    classes = named.join(unsent(smallest, SENT_ROWS), "component").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    classes = cut(_large(nodes.select("id", "label", "embedding")).join(classes, "id").drop("id"), "classes")
+    out = rows.join(unsent(classes, SENT_ROWS), ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
